@@ -11,3 +11,18 @@ g as (select norm, max(doc_id) as keep_id, count(*) as group_size from t group b
 select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.norm) as text_sha256
 from t join g on t.norm = g.norm
 """
+
+#: The blanks that words and lines are stripped of.
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+op3_line_dedup = f"""
+with l as (
+  select doc_id, line, pos, translate(trim(line, {BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+c as (select k, max(doc_id) as top from l where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+m as (select l.*, c.top is null or l.doc_id = c.top as kept from l left join c on l.k = c.k)
+select doc_id, count(*) as n_lines, count(*) filter (where not kept) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where kept), '')) as kept_sha256
+from m group by doc_id
+"""
