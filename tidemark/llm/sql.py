@@ -26,3 +26,27 @@ select doc_id, count(*) as n_lines, count(*) filter (where not kept) as n_droppe
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where kept), '')) as kept_sha256
 from m group by doc_id
 """
+
+
+def word_list(text: str) -> str:
+    """The words of letters, digits and non-ASCII characters of an expression, A-Z lower-cased."""
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+op4_decontaminate = f"""
+with d as (select doc_id, {word_list('text')} as w from documents),
+b as (select cast(item_id as varchar) as item, {word_list('text')} as w from benchmark where item_id is not null),
+win as (select distinct item, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as k
+        from b, unnest(range(1, len(w) - least(10, len(w)) + 2)) as u(i) where len(w) > 0),
+sizes as (select distinct n from win),
+hits as (select d.doc_id, i, win.n, win.item
+         from d, sizes s, unnest(range(1, len(d.w) - s.n + 2)) as u(i), win
+         where win.n = s.n and win.k = array_to_string(d.w[i:i + s.n - 1], ' ')),
+marks as (select doc_id, count(distinct p) as n_hit from hits, unnest(range(i, i + n)) as v(p) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids
+        from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join marks using (doc_id) left join its using (doc_id)
+"""
