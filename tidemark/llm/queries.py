@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontaminate import find_matches
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.mixing import plan_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +28,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
