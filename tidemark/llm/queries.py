@@ -9,6 +9,7 @@ from tidemark.llm.decontaminate import find_matches
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import plan_mix
+from tidemark.llm.quality import score_quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +34,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
