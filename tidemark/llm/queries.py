@@ -10,6 +10,7 @@ from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import plan_mix
 from tidemark.llm.quality import score_quality
+from tidemark.llm.simhash import near_groups
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +40,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
