@@ -9,6 +9,7 @@ from tidemark.llm.decontaminate import find_matches
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import plan_mix
+from tidemark.llm.ppm import score_documents
 from tidemark.llm.quality import score_quality
 from tidemark.llm.simhash import near_groups
 
@@ -44,3 +45,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
