@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import find_matches
 from tidemark.llm.exact_dedup import exact_groups
+from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import plan_mix
 from tidemark.llm.ppm import score_documents
@@ -49,3 +50,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
