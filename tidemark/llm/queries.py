@@ -13,6 +13,7 @@ from tidemark.llm.mixing import plan_mix
 from tidemark.llm.ppm import score_documents
 from tidemark.llm.quality import score_quality
 from tidemark.llm.simhash import near_groups
+from tidemark.llm.url_filter import judge_urls, parse_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +56,12 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+#: The rules that op7 applies.
+URL_RULES = "block net/, allow example.net/en/, block example.com/de/, allow org/fr/"
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), parse_rules(URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
