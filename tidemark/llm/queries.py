@@ -9,6 +9,7 @@ from tidemark.llm.decontaminate import find_matches
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.main_text import extract_main_text
 from tidemark.llm.mixing import plan_mix
 from tidemark.llm.ppm import score_documents
 from tidemark.llm.quality import score_quality
@@ -65,3 +66,7 @@ URL_RULES = "block net/, allow example.net/en/, block example.com/de/, allow org
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages"), parse_rules(URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
