@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: staging, ASCII lower-casing, group-safe joins and components.
+"""What the operators of this subpackage share: ASCII lower-casing, and the library's staging and components.
 
 Names that start with ``__tm_`` are ours; every operator adds and drops them itself, so tables may bring
 any other column of their own.
@@ -6,12 +6,14 @@ any other column of their own.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.components import components
+from tidemark.staging import Staged, shared_dir, stage
+
+__all__ = ["ALNUM_LOWER", "ASCII_LOWER", "Staged", "ascii_lower", "components", "shared_dir", "stage", "with_columns_last"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -22,92 +24,11 @@ ALNUM_LOWER = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder serves a plain local session (as in tests); any other master is
-    refused, since its executors would not see the driver's disk.
-    """
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(spark, "_tm_shared", None)
-    if own is None:
-        own = spark._tm_shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return own
-
-
-class Staged:
-    """A table written once to the shared folder; it cuts the lineage and survives lost executors."""
-
-    def __init__(self, df: DataFrame, tag: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Delete the files, once nothing that is still to run reads them."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    return Staged(df, tag).df
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. Pure ASCII takes the fast built-in, which agrees on it."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (longs) as rows ``(node, label)``; the label is the least node.
-
-    Alternates large-star and small-star steps until the edges are stars, so rounds grow with the logarithm
-    of the longest path. Every round is staged, and each minimum too, so that the joins read shuffles whose
-    hot keys Spark can split. Nodes without an edge (or only to themselves) are not returned.
-    """
-    pairs = edges.where("a is not null and b is not null and a <> b")
-    now = Staged(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    mark = _checksum(now.df)
-    while mark[0]:
-        both = now.df.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
-            now.df.select(F.col("v").alias("x"), F.col("u").alias("y"))
-        )
-        low = Staged(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "cc-min")
-        large = Staged(
-            both.join(low.df, "x").where("y > x and y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(),
-            "cc-large",
-        )
-        least = Staged(large.df.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
-        small = (
-            large.df.join(least.df, "u")
-            .where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.df.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        then = Staged(small, "cc")
-        for old in (now, low, large, least):
-            old.drop()
-        now, before = then, mark
-        mark = _checksum(now.df)
-        if mark == before:
-            break
-    stars = now.df.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return stars.unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-
-
-def _checksum(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return row[0], int(row[1] or 0)
-
-
 def with_columns_last(docs: DataFrame, names: list[str]) -> list[str]:
     """The columns of ``docs`` that an operator passes through when it adds columns called ``names``."""
     taken = {n.lower() for n in names}
