@@ -29,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Staged:
     """A table written once to the shared folder; it cuts the lineage and survives lost executors."""
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, partition_by: list[str] | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, partitionBy=partition_by)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
