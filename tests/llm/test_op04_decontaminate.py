@@ -47,6 +47,7 @@ def brute():
 
 @pytest.mark.parametrize("piece", [32 << 20, 120])
 def test_equals_brute_force(spark, docs_of, piece):
+    # shards are cut inside workers, so small documents share one and the long one closes it
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = find_matches(docs_of(DOCS), bench, piece_bytes=piece).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.items, r.contaminated) for r in got), key=str) == brute()
@@ -61,3 +62,15 @@ def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_matches(docs_of([]), none).collect() == []
     assert [r.contaminated for r in find_matches(docs_of(DOCS[:5]), none).collect()] == [False] * 5
+
+
+def test_small_shards_find_the_same(monkeypatch):
+    import numpy as np
+
+    from tidemark.llm import decontaminate as d
+
+    tests = d.Tests([(str(i), t) for i, t in ITEMS if t and i is not None], 10)
+    known = d.Known(tests.vocabulary).__getitem__
+    shard = [np.array([known(w) for w in d.words_of(t)], np.int32) for _, t in DOCS]
+    whole = d.judge(tests, shard, [None] * len(shard))
+    assert whole == [row for one in shard for row in d.judge(tests, [one], [None])]

@@ -1,14 +1,15 @@
 """Benchmark decontamination with suffix arrays over the documents.
 
 Words are runs of ASCII letters and digits and of any non-ASCII character, A-Z lower-cased. A *window* is ten
-consecutive words of a benchmark item (all of an item that has fewer). Each batch of documents is a shard: its
-words become numbers (zero for words that no item uses), the suffixes that start a stretch of item words long
-enough for some window are sorted - the shard's suffix array - and every item suffix is binary-searched in it.
-The hits that follow each other are the longest verbatim matches; they come out as spans with their items.
+consecutive words of a benchmark item (all of an item that has fewer). Documents are taken in shards of about a
+million words: words become numbers (zero for words that no item uses), the suffixes that start a stretch of
+item words long enough for some window are sorted - the shard's suffix array - and every item suffix is
+binary-searched in it. The hits that follow each other are the longest verbatim matches; they come out as spans
+with their items.
 
-Scale: documents are read once and never shuffled; a shard is one Arrow batch, so memory is bounded whatever
-the partition. The benchmark travels to the executors in pieces of at most ``piece_bytes``, one broadcast and
-one pass over the documents for each, so what is broadcast is bounded too; one piece is the rule.
+Scale: documents are read once and never shuffled; a shard's size bounds the memory whatever the partition. The
+benchmark travels to the executors in pieces of at most ``piece_bytes``, one broadcast and one pass over the
+documents for each, so what is broadcast is bounded too; one piece is the rule.
 
 Defined cases: null text has no words and is never hit; null items and items without words match nothing;
 items with equal windows are all reported; repeated rows are judged alike; an empty benchmark leaves all
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import ALNUM_LOWER, Staged, with_columns_last
 
+#: A shard is closed at so many words; a longer document is a shard of its own.
+SHARD_WORDS = 1 << 20
 ADDED = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
 
 
@@ -75,6 +78,31 @@ class Tests:
         return found
 
 
+class Known(dict):
+    """Numbers of item words; any other word is 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
+def judge(tests: Tests, shard: list[np.ndarray], before) -> list[tuple]:
+    """The added columns of each document of a shard; ``before`` has the spans of earlier pieces."""
+    gap = np.zeros(1, np.int32)
+    bounds = np.concatenate([[0], np.cumsum([len(w) + 1 for w in shard])])
+    hits: dict[int, list] = {}
+    for p, n, items in tests.search(np.concatenate([x for w in shard for x in (w, gap)])):
+        d = int(np.searchsorted(bounds, p, "right")) - 1
+        hits.setdefault(d, []).append((p - int(bounds[d]), n, items))
+    rows = []
+    for d, (words, spans) in enumerate(zip(shard, before)):
+        spans = spans.as_py() if hasattr(spans, "as_py") else spans
+        mine = hits.get(d, []) + [(s["start_word"], s["end_word"] - s["start_word"], [s["item_id"]]) for s in spans or ()]
+        spans, covered = _merge(mine)
+        items = sorted({s["item_id"] for s in spans})
+        rows.append((len(words), covered, len(items), items, spans, covered > 0))
+    return rows
+
+
 def _merge(hits: list[tuple[int, int, list[str]]]) -> tuple[list[dict], int]:
     """Longest matches per item, and the number of words inside any."""
     spans: list[dict] = []
@@ -113,25 +141,19 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, piece_
     def passes(piece, seen):
         def run(batches):
             tests = Tests(piece.value, window)
+            known = Known(tests.vocabulary).__getitem__
             for batch in batches:
-                texts = [x.as_py() for x in batch.column(at)]
-                ids, bounds = [], [0]
-                for text in texts:
-                    ids += [tests.vocabulary.get(w, 0) for w in words_of(text)]
-                    ids.append(0)
-                    bounds.append(len(ids))
-                hits: dict[int, list] = {}
-                for p, n, items in tests.search(np.array(ids, np.int64)):
-                    d = int(np.searchsorted(bounds, p, "right")) - 1
-                    hits.setdefault(d, []).append((p - bounds[d], n, items))
-                before = batch.column(len(rest) + 4).to_pylist() if seen else [None] * len(texts)
-                rows = []
-                for d in range(len(texts)):
-                    mine = hits.get(d, [])
-                    mine += [(s["start_word"], s["end_word"] - s["start_word"], [s["item_id"]]) for s in before[d] or ()]
-                    spans, covered = _merge(mine)
-                    items = sorted({s["item_id"] for s in spans})
-                    rows.append((bounds[d + 1] - bounds[d] - 1, covered, len(items), items, spans, covered > 0))
+                before = batch.column(len(rest) + 4) if seen else [None] * batch.num_rows
+                rows: list[tuple] = []
+                shard: list[np.ndarray] = []
+                size = 0
+                for d, text in enumerate(batch.column(at)):
+                    words = words_of(text.as_py())
+                    shard.append(np.fromiter(map(known, words), np.int32, len(words)))
+                    size += len(words)
+                    if d + 1 == batch.num_rows or size >= SHARD_WORDS:
+                        rows += judge(tests, shard, before[len(rows) : len(rows) + len(shard)])
+                        shard, size = [], 0
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), SPAN_ARROW, pa.bool_())
                 new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *new], [*rest, *ADDED])
