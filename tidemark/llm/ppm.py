@@ -85,11 +85,36 @@ def gram_counts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]
     return code, count
 
 
+class Prices:
+    """Prices of codes by hash: one probe for most, a binary search for those that share a slot."""
+
+    def __init__(self, code: np.ndarray, price: np.ndarray):
+        bits = max(8, int(len(code) * 4).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.code, self.price = np.append(code, -1), np.append(price, 0.0)
+        here, mine = self._hash(code), np.arange(len(code), dtype=np.int32)
+        self.slot = np.full(1 << bits, len(code), np.int32)
+        self.slot[here] = mine
+        lost = np.flatnonzero(self.slot[here] != mine)
+        lost = lost[np.argsort(code[lost])]
+        self.more, self.more_price = code[lost], price[lost]
+
+    def _hash(self, code: np.ndarray) -> np.ndarray:
+        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        at = self.slot[self._hash(code)]
+        out, missed = self.price[at], np.flatnonzero(self.code[at] != code)
+        if len(missed):
+            out[missed] = self.more_price[np.searchsorted(self.more, code[missed])]
+        return out
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode().translate(ASCII_LOWER)
 
 
-def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold: int = 1, group_bytes: int = 24 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold: int = 1, group_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Texts whose crc32(doc_id as text) modulo ``folds`` is ``held_fold`` are held out.
@@ -97,7 +122,7 @@ def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold:
     if not 1 <= order <= 6:
         raise ValueError("a gram must fit a 64-bit number: order 1 to 6")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-int(total) // group_bytes), min(64, int(total) >> 19))
+    groups = max(1, -(-int(total) // group_bytes), min(8, int(total) >> 19))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(True))
     dealt = docs.select(
         F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int").alias("g"),
@@ -128,37 +153,33 @@ def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold:
             }
         )
 
-    counts = Staged(dealt.groupBy("g").applyInArrow(collect, "g int, gram long, word string, n long"), "gram-counts")
-    words = Staged(counts.df.where("gram is null").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = dealt.groupBy("g").applyInArrow(collect, "g int, gram long, word string, n long")
+    counts = Staged(counts.withColumn("is_word", F.col("gram").isNull()), "gram-counts", ["is_word"])
+    words = Staged(counts.df.where("is_word").groupBy("word").agg(F.sum("n").alias("n")), "words")
     tokens, kinds = words.df.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     tokens, kinds = int(tokens or 0), int(kinds or 0)
-    cost = Staged(code_lengths(counts.df.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), order), "code-lengths")
+    cost = Staged(code_lengths(counts.df.where("not is_word").groupBy("gram").agg(F.sum("n").alias("n")), order), "code-lengths")
 
-    wanted = counts.df.where("gram is null").select("g", "word").join(words.df, "word").select("g", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("v"))
-    priced = counts.df.where("gram is not null").select("g", "gram").join(cost.df, "gram").select("g", "gram", F.lit(None).cast("string").alias("word"), F.col("cost").alias("v"))
+    wanted = counts.df.where("is_word").select("g", "word").join(words.df, "word").select("g", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("v"))
+    priced = counts.df.where("not is_word").select("g", "gram").join(cost.df, "gram").select("g", "gram", F.lit(None).cast("string").alias("word"), F.col("cost").alias("v"))
     back = wanted.unionByName(priced)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         is_word = pc.is_null(right.column("gram"))
         told = right.filter(is_word)
-        n_of = {w.encode(): n for w, n in zip(told.column("word").to_pylist(), told.column("v").to_pylist())}
         bottom = np.log10(tokens + 0.5 * (kinds + 1))
-        log_of = {w: np.log10(n + 0.5) - bottom for w, n in n_of.items()}
-        known = {w for w, n in n_of.items() if n > 0}
+        logs_of = (np.log10(told.column("v").to_numpy() + 0.5) - bottom).tolist()
+        log_of = dict(zip(map(str.encode, told.column("word").to_pylist()), logs_of))
+        unseen = np.log10(0.75) - bottom  # between a word never counted and one counted once
         rest = right.filter(pc.invert(is_word))
-        code, price = rest.column("gram").to_numpy(), rest.column("v").to_numpy()
-        by = np.argsort(code)
-        code, price = code[by], price[by]
+        price = Prices(rest.column("gram").to_numpy(), rest.column("v").to_numpy())
         out = []
         for text in left.column("text"):
             t = _bytes(text.as_py())
             own = [*t.split(), END_WORD.encode()]
-            base = float(np.sum(np.fromiter(map(log_of.__getitem__, own), float, len(own))))
-            bits = 0.0
-            for part in grams([t], order):
-                part.sort()
-                bits += float(price[np.searchsorted(code, part)].sum())
-            out.append((len(own), sum(map(known.__contains__, own)), base, bits))
+            logs = np.fromiter(map(log_of.__getitem__, own), float, len(own))
+            bits = sum(float(price.of(part).sum()) for part in grams([t], order))
+            out.append((len(own), int((logs > unseen).sum()), float(logs.sum()), bits))
         n = len(out)
         columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
         return pa.table(
