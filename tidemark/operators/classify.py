@@ -39,14 +39,14 @@ def classify(detections: DataFrame, declared: DataFrame | None, tolerance_m: flo
     """
     base = detections.drop(*[n for n in MATCH.names if n in detections.columns])
     if scenes is not None:
-        base = base.join(F.broadcast(scenes.select("scene", F.col("t_us").alias("acquired_at"))), "scene", "left")
+        base = base.join(scenes.select("scene", F.col("t_us").alias("acquired_at")), "scene", "left")
     if declared is None:
         empty = absent(base.withColumn("status", F.lit(UNSEARCHED)), MATCH)
         none = detections.sparkSession.createDataFrame([], "scene string, mmsi string, length_m double, position_basis string, position_age_s double, position_span_s double, velocity_east_ms double, velocity_north_ms double, x double, y double, azimuth_shift_m double")
         return Match(_in_order(empty, detections), _explaining(none, None))
     pairs = assign(candidates(base, declared, tolerance_m))
     source = pairs.join(declared.select("scene", "mmsi", *CARRIED), ["scene", "mmsi"])
-    searched = F.broadcast(declared.groupBy("scene").agg(F.count("*").cast("double").alias("declarations_searched")))
+    searched = declared.groupBy("scene").agg(F.count("*").cast("double").alias("declarations_searched"))
     out = base.join(source.withColumnRenamed("distance_m", "match_distance_m"), ["scene", "det_id"], "left").join(searched, "scene", "left")
     out = out.withColumns(
         {

@@ -40,17 +40,21 @@ def positions_at(ais: DataFrame, scenes: DataFrame, max_gap_s: float, many: bool
     A report at the instant counts as before it. A bracket is interpolated however wide it is; otherwise the
     track's nearer end stands, with the velocity of its last two reports. The length is the last report's.
 
-    ``scenes`` (scene, t_us) is broadcast. The default reads the archive once per scene in one hash aggregate per
-    scene and vessel; ``many`` instead cuts each track into the stretches between reports and finds the scenes in
-    each by day, so the archive is shuffled once however many scenes there are.
+    The default is for a few scenes: it broadcasts them and aggregates every report once per scene. ``many``
+    instead cuts each track into the stretches between reports and finds the scenes in each by an equality join
+    on days, so the archive is shuffled once however many scenes there are; Spark sizes that join itself.
     """
     ends = track_ends(ais)
     seen = ais.where("mmsi is not null and t_us is not null")
     brackets = _brackets_by_stretch(seen, scenes) if many else _brackets_by_scene(seen, scenes)
-    instants = F.broadcast(scenes.select("scene", F.col("t_us").alias("at")))
+    instants = scenes.select("scene", F.col("t_us").alias("at"))
     if many:
         near = F.when(F.col("at") < F.col("first.t_us"), F.col("first.t_us") - F.col("at")).when(F.col("at") >= F.col("last.t_us"), F.col("at") - F.col("last.t_us"))
-        alone = ends.join(instants, near <= F.lit(int(max_gap_s * 1e6))).withColumns({"left": F.lit(None).cast(brackets.schema["left"].dataType), "right": F.lit(None).cast(brackets.schema["left"].dataType)})
+        gap_us = int(max_gap_s * 1e6)
+        reach = [(F.col("first.t_us") - gap_us, F.col("first.t_us")), (F.col("last.t_us"), F.col("last.t_us") + gap_us)]
+        days = F.array_union(*[F.sequence(F.floor(a / F.lit(DAY_US)), F.floor(b / F.lit(DAY_US))) for a, b in reach])
+        dated = instants.withColumn("__day", F.floor(F.col("at") / F.lit(DAY_US)))
+        alone = ends.withColumn("__day", F.explode(days)).join(dated, "__day").where(near <= F.lit(gap_us)).withColumns({"left": F.lit(None).cast(brackets.schema["left"].dataType), "right": F.lit(None).cast(brackets.schema["left"].dataType)})
         held = brackets.join(ends, "mmsi").join(instants, "scene")
         cols = ["scene", "mmsi", "at", "left", "right", "first", "last", "tail_east", "tail_north", "first_ord"]
         both = held.select(*cols).unionByName(alone.select(*cols))
@@ -95,7 +99,7 @@ def _brackets_by_stretch(seen: DataFrame, scenes: DataFrame) -> DataFrame:
     legs = seen.select("mmsi", _report().alias("left"), F.lead(_report()).over(order).alias("right")).where("right is not null and right.t_us > left.t_us")
     day = lambda c: F.floor(F.col(c) / F.lit(DAY_US))
     legs = legs.withColumn("__day", F.explode(F.sequence(day("left.t_us"), day("right.t_us"))))
-    instants = F.broadcast(scenes.select("scene", F.col("t_us").alias("__at"), day("t_us").alias("__day")))
+    instants = scenes.select("scene", F.col("t_us").alias("__at"), day("t_us").alias("__day"))
     return legs.join(instants, "__day").where("left.t_us <= __at and __at < right.t_us").select("scene", "mmsi", "left", "right")
 
 
@@ -107,7 +111,7 @@ def drawn_by_radar(declared: DataFrame, scenes: DataFrame | None) -> DataFrame:
     """
     if scenes is None:
         return declared.withColumn("azimuth_shift_m", F.lit(None).cast("double"))
-    known = F.broadcast(scenes.select("scene", "heading_deg", "incidence_deg", "shift_per_mps"))
+    known = scenes.select("scene", "heading_deg", "incidence_deg", "shift_per_mps")
     east, north = radar_shift(F.col("velocity_east_ms"), F.col("velocity_north_ms"), F.col("heading_deg"), F.col("incidence_deg"), F.col("shift_per_mps"))
     moved = declared.join(known, "scene", "left").withColumns({"__e": east, "__n": north})
     shift = F.sqrt(F.col("__e") * F.col("__e") + F.col("__n") * F.col("__n"))

@@ -109,7 +109,7 @@ def stretch(pixels: DataFrame, low: float = 0.01, high: float = 0.995) -> DataFr
     per = per.select("image", F.when(flat, F.col("lo")).otherwise(F.col("p")[0]).alias("lo"), F.when(flat, F.col("hi")).otherwise(F.col("p")[1]).alias("hi"))
     scaled = (F.least(F.greatest("v", "lo"), F.col("hi")) - F.col("lo")) / (F.col("hi") - F.col("lo"))
     grey = F.when(F.col("hi") > F.col("lo"), F.bround(scaled * 255)).otherwise(F.lit(0.0))
-    return pixels.join(F.broadcast(per), "image").select("image", "r", "c", grey.cast("int").alias("grey"))
+    return pixels.join(per, "image").select("image", "r", "c", grey.cast("int").alias("grey"))
 
 
 def robust_z(pixels: DataFrame) -> DataFrame:
@@ -117,9 +117,9 @@ def robust_z(pixels: DataFrame) -> DataFrame:
     ok = (F.col("v") != 0) & ~F.isnan("v")
     own = F.when(ok, F.col("v"))
     middle = pixels.groupBy("image").agg(F.median(own).alias("med"), F.count(own).alias("n"), F.stddev_pop(own).alias("sd"))
-    with_middle = pixels.join(F.broadcast(middle), "image")
+    with_middle = pixels.join(middle, "image")
     mad = with_middle.groupBy("image").agg(F.median(F.abs(F.when(ok, F.col("v")) - F.col("med"))).alias("mad"))
-    rows = with_middle.join(F.broadcast(mad), "image")
+    rows = with_middle.join(mad, "image")
     robust = F.lit(1.4826) * F.col("mad")
     spread = F.when(robust > 1e-6, robust).otherwise(F.col("sd") + F.lit(1e-6))
     z = F.least(F.greatest((F.col("v") - F.col("med")) / spread, F.lit(-4.0)), F.lit(40.0)) / F.lit(10.0)

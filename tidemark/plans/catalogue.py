@@ -570,3 +570,94 @@ def embedding_attach(spark, sf_dir):
     vectors = v.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "det_id")
     out = attach_embedding(v.detections(spark, sf_dir), vectors)
     return out.select("det_id", "x", "y", F.get("embedding", F.lit(0)).alias("first_value"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("n_values"))
+
+
+# -- views of results -------------------------------------------------------------------------------------------
+
+
+@query(with_(AIS, LEGS, OWN, select=f"""select round_even((least(ix * {v.CELL_M}, (ix + 1) * {v.CELL_M}) - {SCENE['c']})::double / {SCENE['a']}::double, 2) + 0 as px,
+  round_even(({SCENE['f']} - (iy + 1) * {v.CELL_M})::double / {-SCENE['e']}::double, 2) + 0 as py, {v.CELL_M / SCENE['a']}::double as pw, {v.CELL_M / -SCENE['e']}::double as ph, round_even(p, 4) as reception_p, n as intervals
+from model where (ix + 1) * {v.CELL_M} > {SCENE['c']} and ix * {v.CELL_M} < {SCENE['c'] + SCENE['width'] * SCENE['a']} and (iy + 1) * {v.CELL_M} > {SCENE['f'] + SCENE['height'] * SCENE['e']} and iy * {v.CELL_M} < {SCENE['f']}"""))
+def reception_visible(spark, sf_dir):
+    """Cells that overlap the scene, as pixel boxes for drawing."""
+    box = (SCENE["c"], SCENE["f"] + SCENE["height"] * SCENE["e"], SCENE["c"] + SCENE["width"] * SCENE["a"], SCENE["f"])
+    seen = reception.visible(reception.cells(_coverage(spark, sf_dir)), *box).withColumns({k: F.lit(SCENE[k]) for k in "abcdef"})
+    drawn = seen.select(geo.pixel_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("box"), F.bround("reception_p", 4).alias("reception_p"), "intervals")
+    return rounded(drawn.select("box.*", "reception_p", "intervals"))
+
+
+@query(f"""select 'S' as scene, i as corner, {SCENE['c']}::double + case when i in (1, 2) then {SCENE['width'] * SCENE['a']} else 0 end as x, {SCENE['f']}::double + case when i in (2, 3) then {SCENE['height'] * SCENE['e']} else 0 end as y
+from range(4) t(i)""")
+def footprint(spark, sf_dir):
+    corners = v.scenes(spark).select("scene", F.posexplode(geo.footprint()).alias("corner", "at"))
+    return corners.select("scene", F.col("corner").cast("long").alias("corner"), "at.x", "at.y")
+
+
+@query(with_(*CLASSIFIED, select="select det_id, row_number() over (order by y desc, x, det_id) - 1 as index, status from classed"))
+def detection_index(spark, sf_dir):
+    """Positional index of detections: reading order of their places, per scene."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("scene").orderBy(F.desc("y"), "x", "det_id")
+    return _match(spark, sf_dir).detections.select("det_id", (F.row_number().over(order) - 1).cast("long").alias("index"), "status")
+
+
+@query(with_(*CLASSIFIED, select="select det_id + 1 as detection, status, mmsi, x, y, round(match_distance_m, 6) as match_distance_m, position_basis, scene from classed where status = 'dark'"))
+def dark_table(spark, sf_dir):
+    """The table of one status, with the export's numbering."""
+    rows = _match(spark, sf_dir).detections.where(F.col("status") == match.DARK)
+    return rounded(rows.select((F.col("det_id") + 1).alias("detection"), "status", "mmsi", "x", "y", "match_distance_m", "position_basis", "scene"))
+
+
+@query(with_(SIGHT, EDGES, STANDING, select="select id, dense_rank() over (order by position_id) - 1 as position from member"))
+def position_ids(spark, sf_dir):
+    found = structures.standing(v.sightings(spark, sf_dir), v.REGISTER_M)
+    return structures.dense_ids(found).withColumn("position", F.col("position").cast("long"))
+
+
+@query(f"with b as ({_BOXED}) select box_id, (y0 + y1) / 2 as row, (x0 + x1) / 2 as col, split_part(lpad(cast(box_id % 15 as varchar), 2, '0') || '_' || cast(box_id as varchar), '_', 1) as scene from b")
+def box_centres(spark, sf_dir):
+    rows = boxes.centres(_boxed(spark, sf_dir)).withColumn("image", F.concat(F.lpad((F.col("box_id") % 15).cast("string"), 2, "0"), F.lit("_"), F.col("box_id").cast("string")))
+    return rows.select("box_id", "row", "col", boxes.scene_of().alias("scene"))
+
+
+@query("""select c_custkey % 40 as image, avg(case when c_custkey % 7 < c_custkey % 40 % 8 then 1 else 0 end) as nodata, avg(case when c_custkey % 7 < c_custkey % 40 % 8 then 1 else 0 end) >= 0.5 as mostly_outside from customer group by 1""")
+def nodata_share(spark, sf_dir):
+    k = F.col("c_custkey")
+    px = v.table(spark, sf_dir, "customer").select((k % 40).alias("image"), F.when(k % 7 < k % 40 % 8, F.lit(0.0)).otherwise(F.lit(1.0)).alias("v"))
+    return boxes.nodata_share(px)
+
+
+@query("select event_id, case when isnan(v) or isinf(v) or v = -1 then 0 else v end as v from (select event_id, case event_id % 5 when 0 then 'nan'::double when 1 then 'inf'::double when 2 then -1 else \"value\" end as v from events)")
+def cleaned_pixels(spark, sf_dir):
+    k = F.col("event_id") % 5
+    raw = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k == 2, F.lit(-1.0)).otherwise(F.col("value"))
+    return v.table(spark, sf_dir, "events").select("event_id", pixels.cleaned(raw, -1.0).alias("v"))
+
+
+@query("select item as value, try_cast(split_part(item, ',', 1) as double) as x, try_cast(split_part(item, ',', 2) as double) as y from (select cast(c_custkey as varchar) || case when c_custkey % 9 = 0 then ';' else ',' end || cast(c_nationkey as varchar) as item from customer)")
+def register_texts(spark, sf_dir):
+    """Positions from ``x,y`` texts; what is malformed gives NULL, where the request parser refuses it."""
+    sep = F.when(F.col("c_custkey") % 9 == 0, F.lit(";")).otherwise(F.lit(","))
+    text = v.table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), sep, F.col("c_nationkey").cast("string")).alias("value"))
+    part = lambda i: F.expr(f"try_cast(split_part(value, ',', {i}) as double)")
+    return text.select("value", part(1).alias("x"), part(2).alias("y"))
+
+
+@query(with_(SCORE, "ins as (select doc_id as id from labels where toxic = 1)", select="select case when id in (select id from ins) then 'inshore' else 'offshore' end as split, count(*) as points, count(*) filter (where hit) as hits from score group by 1"))
+def inshore_offshore(spark, sf_dir):
+    """Membership of splits as semi and anti joins."""
+    scored = v.scored(spark, sf_dir)
+    inshore = v.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    count = lambda df, name: df.agg(F.count("*").alias("points"), F.count(F.when(F.col("hit"), 1)).alias("hits")).select(F.lit(name).alias("split"), "points", "hits")
+    return count(scored.join(inshore, "id", "left_semi"), "inshore").unionByName(count(scored.join(inshore, "id", "left_anti"), "offshore")).where("points > 0")
+
+
+@query(with_("m as (select unnest(range(25, 1001, 25))::double as tolerance_m), g as (select unnest([1, 2, 5, 10, 15, 20, 30, 45, 60, 90, 120]::double[]) as gap)",
+    select="select gap as max_gap_minutes, tolerance_m, ((9 * 11 + (select count(*) from g x where x.gap < g.gap)) * 2) * 40 + cast(tolerance_m / 25 as bigint) - 1 as run from g, m"))
+def run_lookup(spark, sf_dir):
+    """The run of each grid position at the configured threshold with the correction on, found by its four keys."""
+    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(g) for g in sweep.GAPS_MINUTES])).alias("max_gap_minutes")).withColumn("tolerance_m", F.explode(F.array(*[F.lit(t) for t in sweep.TOLERANCES_M])))
+    wanted = wanted.withColumns({"detector_threshold": F.lit(0.5), "apply_azimuth": F.lit(True)})
+    found = wanted.join(sweep.grid(spark), ["detector_threshold", "max_gap_minutes", "apply_azimuth", "tolerance_m"])
+    return found.select("max_gap_minutes", "tolerance_m", F.col("run").cast("long").alias("run"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,9 @@ class Staged:
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
     return Staged(df, tag).df
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it waits for a collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
