@@ -66,4 +66,6 @@ def test_mix_and_no_rows(spark):
     mixed = mix_sources(table(spark))
     assert mixed.columns == ["doc_id", "source", "text", "uid", "block", "copies", "taken"]
     assert all(r.copies > 0 and r.taken == r.copies * len(r.text.split()) for r in mixed.collect())
+    planned = sorted((str(r.doc_id), str(r.source), r.size, r.copies) for r in plan_mix(table(spark)).collect() if r.copies)
+    assert sorted((str(r.doc_id), str(r.source), len(r.text.split()), r.copies) for r in mixed.collect()) == planned
     assert mix_sources(table(spark, [])).collect() == []

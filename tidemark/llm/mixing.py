@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.common import Staged, stage, with_columns_last
 
@@ -139,10 +140,9 @@ def round_copies(shares: DataFrame, leaf: int = 4096, fan_in: int = 64, seed: in
 def plan_mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_copies: int = 2, leaf: int = 4096, fan_in: int = 64, seed: int = 42) -> DataFrame:
     """One row per document: uid, doc_id, source, size, source_size, target, copies, taken.
 
-    A ``__tm_uid`` that ``docs`` brings becomes the uid; else rows are numbered.
+    The uid numbers the rows of this call.
     """
-    uid = F.col("__tm_uid") if "__tm_uid" in docs.columns else F.monotonically_increasing_id()
-    rows = docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     sizes = stage(word_counts(rows), "sizes")
     targets = stage(source_targets(sizes, list(weights), budget, max_copies), "targets")
     rows = sizes.join(targets.withColumnRenamed("source", "__tm_s"), F.col("source").eqNullSafe(F.col("__tm_s"))).drop("__tm_s")
@@ -158,8 +158,28 @@ def plan_mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_copies
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
-    """The documents that the mix takes, with their columns and copies and taken; see ``plan_mix``."""
+    """The documents that the mix takes, with their columns and copies and taken; see ``plan_mix``.
+
+    Rows of equal doc_id, source and size are worth the same, so it does not matter which of them gets which
+    of their copies: they are numbered on both sides. Texts move once, to meet their copies.
+    """
     rest = with_columns_last(docs, ["copies", "taken"])
-    rows = stage(docs.select(*rest, F.monotonically_increasing_id().alias("__tm_uid")), "mix-input")
-    plan = plan_mix(rows, **how).where("copies > 0").select(F.col("uid").alias("__tm_uid"), "copies", "taken")
-    return rows.join(stage(plan, "plan"), "__tm_uid").select(*rest, "copies", "taken")
+    plan = plan_mix(docs, **how).select(F.col("doc_id").alias("__tm_d"), F.col("source").alias("__tm_s"), F.col("size").alias("__tm_n"), "copies", "taken")
+    alike = Window.partitionBy("__tm_d", "__tm_s", "__tm_n").orderBy(F.desc("copies"))
+    plan = stage(plan.withColumn("__tm_k", F.row_number().over(alike)), "plan")
+    base, at = docs.select(*rest), rest.index("text")
+    schema = StructType(list(base.schema.fields)).add("__tm_size", "long")
+
+    def count(batches):
+        for batch in batches:
+            sizes = [0 if (t := x.as_py()) is None else len(t.encode().split()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*rest, "__tm_size"])
+
+    rows = base.mapInArrow(count, schema)
+    key = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("__tm_size")]
+    numbered = F.lit(1)
+    if plan.where("__tm_k > 1").limit(1).count():  # else the numbering, and a shuffle for it, can go
+        numbered = F.row_number().over(Window.partitionBy("doc_id", "source", "__tm_size").orderBy(F.lit(1)))
+    rows = rows.withColumn("__tm_key", numbered)
+    same = [k.eqNullSafe(F.col(n)) for k, n in zip([*key, F.col("__tm_key")], ("__tm_d", "__tm_s", "__tm_n", "__tm_k"))]
+    return rows.join(plan.where("copies > 0"), same).select(*rest, "copies", "taken")
