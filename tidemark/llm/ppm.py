@@ -23,15 +23,14 @@ equally likely; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_LOWER, Staged
+from tidemark.llm.common import Staged
+from tidemark.staging import release_shuffles
 
 #: Pads the start of a text and marks its end; it is no byte of UTF-8.
 END = 0xFF
@@ -100,7 +99,7 @@ class Prices:
         self.more, self.more_price = code[lost], price[lost]
 
     def _hash(self, code: np.ndarray) -> np.ndarray:
-        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
 
     def of(self, code: np.ndarray) -> np.ndarray:
         at = self.slot[self._hash(code)]
@@ -110,8 +109,22 @@ class Prices:
         return out
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode().translate(ASCII_LOWER)
+def lowered(texts: pa.ChunkedArray) -> pa.Array:
+    """Texts with A-Z lower-cased, null as empty."""
+    low = pc.ascii_lower(pc.fill_null(texts, ""))
+    return low.combine_chunks() if isinstance(low, pa.ChunkedArray) else low
+
+
+def words_of(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of all texts, split at ASCII white space, and the text that each is from."""
+    parts = pc.ascii_split_whitespace(low)
+    words = parts.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    return words.filter(some), pc.list_parent_indices(parts).filter(some).to_numpy()
+
+
+def raw(low: pa.Array) -> list[bytes]:
+    return low.cast(pa.binary()).to_pylist()
 
 
 def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold: int = 1, group_bytes: int = 12 << 20) -> DataFrame:
@@ -133,23 +146,23 @@ def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold:
 
     def collect(table: pa.Table) -> pa.Table:
         g = table.column("g")[0].as_py()
-        held_out = table.column("held_out").to_pylist()
-        texts = [_bytes(t.as_py()) for t in table.column("text")]
-        learn, words = [t for t, h in zip(texts, held_out) if not h], Counter()
-        for t in learn:
-            words.update(t.split())
-        code, count = gram_counts(learn, order)
-        other, _ = gram_counts([t for t, h in zip(texts, held_out) if h], order)
-        new = np.setdiff1d(other, code, assume_unique=True)
-        seen = dict.fromkeys(w for t, h in zip(texts, held_out) if h for w in t.split() if w not in words)
-        n_words, n_grams = len(words) + len(seen) + 1, len(code) + len(new)
-        word = pa.array([*(w.decode() for w in words), *(w.decode() for w in seen), END_WORD], pa.string())
+        low = lowered(table.column("text"))
+        held_out = table.column("held_out").to_numpy().astype(bool)
+        own, other = (low.filter(pa.array(m)) for m in (~held_out, held_out))
+        found = pc.value_counts(words_of(own)[0])
+        word, times = found.field("values"), found.field("counts")
+        seen = pc.unique(words_of(other)[0])
+        seen = seen.filter(pc.invert(pc.is_in(seen, value_set=word)))
+        code, count = gram_counts(raw(own), order)
+        new = np.setdiff1d(gram_counts(raw(other), order)[0], code, assume_unique=True)
+        word = pa.concat_arrays([word, seen, pa.array([END_WORD])])
+        n = np.concatenate([times.to_numpy(), np.zeros(len(seen), np.int64), [len(own)], count, np.zeros(len(new), np.int64)])
         return pa.table(
             {
-                "g": pa.array(np.full(n_words + n_grams, g, np.int32)),
-                "gram": pa.concat_arrays([pa.nulls(n_words, pa.int64()), pa.array(np.concatenate([code, new]))]),
-                "word": pa.concat_arrays([word, pa.nulls(n_grams, pa.string())]),
-                "n": pa.array([*words.values(), *[0] * len(seen), len(learn), *count.tolist(), *[0] * len(new)], pa.int64()),
+                "g": pa.array(np.full(len(n), g, np.int32)),
+                "gram": pa.concat_arrays([pa.nulls(len(word), pa.int64()), pa.array(np.concatenate([code, new]))]),
+                "word": pa.concat_arrays([word, pa.nulls(len(code) + len(new), pa.string())]),
+                "n": pa.array(n, pa.int64()),
             }
         )
 
@@ -158,7 +171,9 @@ def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold:
     words = Staged(counts.df.where("is_word").groupBy("word").agg(F.sum("n").alias("n")), "words")
     tokens, kinds = words.df.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     tokens, kinds = int(tokens or 0), int(kinds or 0)
-    cost = Staged(code_lengths(counts.df.where("not is_word").groupBy("gram").agg(F.sum("n").alias("n")), order), "code-lengths")
+    release_shuffles(docs.sparkSession)  # the texts dealt to count them
+    cost = code_lengths(counts.df.where("not is_word").groupBy("gram").agg(F.sum("n").alias("n")), order)
+    release_shuffles(docs.sparkSession)
 
     wanted = counts.df.where("is_word").select("g", "word").join(words.df, "word").select("g", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("v"))
     priced = counts.df.where("not is_word").select("g", "gram").join(cost.df, "gram").select("g", "gram", F.lit(None).cast("string").alias("word"), F.col("cost").alias("v"))
@@ -168,20 +183,18 @@ def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold:
         is_word = pc.is_null(right.column("gram"))
         told = right.filter(is_word)
         bottom = np.log10(tokens + 0.5 * (kinds + 1))
-        logs_of = (np.log10(told.column("v").to_numpy() + 0.5) - bottom).tolist()
-        log_of = dict(zip(map(str.encode, told.column("word").to_pylist()), logs_of))
+        logs_of = np.log10(told.column("v").to_numpy() + 0.5) - bottom
         unseen = np.log10(0.75) - bottom  # between a word never counted and one counted once
         rest = right.filter(pc.invert(is_word))
         price = Prices(rest.column("gram").to_numpy(), rest.column("v").to_numpy())
-        out = []
-        for text in left.column("text"):
-            t = _bytes(text.as_py())
-            own = [*t.split(), END_WORD.encode()]
-            logs = np.fromiter(map(log_of.__getitem__, own), float, len(own))
-            bits = sum(float(price.of(part).sum()) for part in grams([t], order))
-            out.append((len(own), int((logs > unseen).sum()), float(logs.sum()), bits))
-        n = len(out)
-        columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+        low = lowered(left.column("text"))
+        n, end = len(low), logs_of[told.column("word").index(END_WORD).as_py()]
+        words, at = words_of(low)
+        logs = logs_of[pc.index_in(words, value_set=told.column("word").combine_chunks()).to_numpy()]
+        total = lambda w: np.bincount(at, w, n)
+        n_tokens, n_known = total(None) + 1, total(logs > unseen).astype(np.int64) + int(end > unseen)
+        bits = [sum(float(price.of(part).sum()) for part in grams([t], order)) for t in raw(low)]
+        columns = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(total(logs) + end), pa.array(bits, pa.float64())]
         return pa.table(
             [left.column("doc_id"), left.column("held_out"), columns[0], columns[1], pa.array([tokens] * n, pa.int64()), columns[2], columns[3]],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -191,8 +204,8 @@ def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold:
     return dealt.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(add_up, schema)
 
 
-def code_lengths(counts: DataFrame, order: int) -> DataFrame:
-    """(gram, cost): the log10 probability of each gram's symbol after its context, from (gram, n).
+def code_lengths(counts: DataFrame, order: int) -> Staged:
+    """(gram, cost), staged: the log10 probability of each gram's symbol after its context, from (gram, n).
 
     Grams seen in training need their own context only. The others - a small part - go down the levels of the
     trie: at each, a join tells what followed the context, another whether the symbol did.
@@ -239,5 +252,8 @@ def code_lengths(counts: DataFrame, order: int) -> DataFrame:
             (F.col("open") & ~(asked & F.col("c").isNotNull())).alias("open"),
         )
     bottom = F.when(F.col("open"), -F.log10(F.lit(256.0) - F.col("ex_q"))).otherwise(F.lit(0.0))
-    return seen.unionByName(rest.select("gram", (F.col("cost") + bottom).alias("cost")))
+    out = Staged(seen.unionByName(rest.select("gram", (F.col("cost") + bottom).alias("cost"))), "code-lengths")
+    for table in (all_grams, *levels, *nodes):
+        table.drop()
+    return out
 
