@@ -17,8 +17,10 @@ def spark(tmp_path_factory):
     s = session(
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "3",
             "spark.driver.memory": "8g",
+            "spark.default.parallelism": "3",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "1m",
             "spark.checkpoint.dir": f"file://{shared}",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
