@@ -34,7 +34,7 @@ from tidemark.staging import release_shuffles
 
 #: Pads the start of a text and marks its end; it is no byte of UTF-8.
 END = 0xFF
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: The end mark among words; a word has no blanks.
 END_WORD = " "
 
