@@ -1,0 +1,54 @@
+import random
+
+from tidemark.llm.overlap import copy_groups, jaccard, shingles
+from tidemark.llm.simhash import drop_near_duplicates
+
+R = random.Random(5)
+VOC = [f"word{i}" for i in range(3000)]
+
+
+def near(base, edits):
+    """A copy with every tenth word of the first 10 * ``edits`` replaced, which costs five shingles each."""
+    return [f"new{R.random()}" if i % 10 == 5 and i < 10 * edits else w for i, w in enumerate(base)]
+
+
+def pairs():
+    """Pairs at known overlaps: 304 shingles, of which 5 an edit differ."""
+    rows = []
+    for i in range(240):
+        base = [R.choice(VOC) for _ in range(308)]
+        edits = 6 if i % 2 else 7
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near(base, edits)))]
+    return rows
+
+
+def test_all_pairs_at_the_overlap_are_found(docs_of):
+    rows = pairs()
+    want = {2 * i + 1 for i in range(240) if jaccard(shingles(rows[2 * i][1], 5), shingles(rows[2 * i + 1][1], 5)) >= 0.8}
+    assert len(want) == 120
+    kept = {r.doc_id for r in drop_near_duplicates(docs_of(rows)).collect()}
+    assert want & kept == set()
+
+
+def brute(rows):
+    sets = [shingles(t, 5) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return {d: rows[label[i]][0] for i, (d, _) in enumerate(rows)}
+
+
+def test_large_buckets_equal_all_pairs(docs_of):
+    rows = []
+    for g in range(2):
+        base = [R.choice(VOC) for _ in range(204)]
+        for _ in range(60):  # texts off one base by up to 30 %: some link, some only by way of others, some not at all
+            at = set(R.sample(range(20), R.randint(0, 8)))
+            rows.append((len(rows), " ".join(f"new{R.random()}" if i % 10 == 5 and i // 10 in at else w for i, w in enumerate(base))))
+    want = brute(rows)
+    assert 4 < len(set(want.values())) < 100
+    for small in (2, 16):
+        assert {r.doc_id: r.component_id for r in copy_groups(docs_of(rows), small=small).collect()} == want

@@ -1,0 +1,168 @@
+"""Near copies by shingle overlap: banded min-hashes find pairs, exact Jaccard decides.
+
+A text's words (A-Z lower-cased, split at ASCII white space) form shingles, each known by its XXH64. The overlap of
+two texts is the Jaccard similarity of their sets of shingles. Texts of equal sets are one entry of the index.
+
+Candidates: ``bands`` keys a text, each made of ``rows`` min-hashes. Two texts of overlap s share a key with
+probability 1 - (1 - s^rows)^bands: at 30 bands of 5 all but 7 in a million at 0.8, and more above. Every candidate is
+then verified on both whole sets of shingles, so no link is below ``overlap``.
+
+Large buckets: up to ``small`` texts that share a key are compared pair by pair. In larger buckets each text is
+compared with three of them first; then every pair that those links have not brought together yet is compared, too.
+So the components are those of all pairs, while a group of m copies costs about m comparisons.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import ASCII_LOWER, Staged, components, stage
+
+SEED = 42
+CHUNK = 2048
+EMPTY = np.uint64(2**64 - 1)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct XXH64 of a text's shingles; fewer words than a shingle form one shingle."""
+    parts = (text or "").encode().translate(ASCII_LOWER).split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    starts = np.concatenate([[0], ends[:-1]])
+    k = min(words, len(parts))
+    digest = xxhash.xxh64_intdigest
+    first, last = starts[: len(parts) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(first, last)], np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The overlap of two sorted sets; two empty sets are equal."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
+
+
+def band_keys(shingle: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One signed 64-bit key a band."""
+    rng = np.random.default_rng(SEED)
+    times, plus = rng.integers(0, 2**63, (2, bands * rows), np.uint64)
+    times = (2 * times + 1)[:, None]
+    least = np.full(bands * rows, EMPTY)
+    for at in range(0, len(shingle), CHUNK):
+        np.minimum(least, (times * shingle[at : at + CHUNK] + plus[:, None]).min(1), out=least)
+    return np.array([xxhash.xxh64_intdigest(m.tobytes(), i) for i, m in enumerate(least.reshape(bands, rows))], np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, d0, d1, n, keys) of every row: 128 bits that name the set of shingles, its size, the keys of the bands."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py(), words) for t in batch.column(1)]
+            names = np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets), np.int64).reshape(-1, 2)
+            keys = pa.array([band_keys(s, bands, rows) for s in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "d0", "d1", "n", "keys"])
+
+    schema = "doc_id long, d0 long, d1 long, n long, keys array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def first_pairs(index: DataFrame, overlap: float, small: int) -> DataFrame:
+    """(a, b) to compare, from ``index`` (key, rep, n); a row (null, key) names a bucket of more than ``small`` texts."""
+
+    def pairs(key, rep, n):
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        starts, sizes = np.concatenate([[0], cuts]), np.diff(np.concatenate([[0], cuts, [len(key)]]))
+        size_of = np.repeat(sizes, sizes)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for gap in range(1, min(small, int(sizes.max(initial=0)))):
+            i = np.flatnonzero((key[:-gap] == key[gap:]) & (size_of[:-gap] <= small))
+            left.append(i)
+            right.append(i + gap)
+        for s, m in zip(starts[sizes > small], sizes[sizes > small]):
+            for pivot in (s, s + m // 2, s + m - 1):
+                left.append(np.full(m, pivot))
+                right.append(np.arange(s, s + m))
+        i, j = np.concatenate(left), np.concatenate(right)
+        keep = (rep[i] != rep[j]) & (np.minimum(n[i], n[j]) >= overlap * np.maximum(n[i], n[j]) - 1e-6)
+        a, b = np.minimum(rep[i], rep[j])[keep], np.maximum(rep[i], rep[j])[keep]
+        if len(a):
+            a, b = np.unique(np.stack([a, b]), axis=1)
+        marks = key[starts[sizes > small]].tolist()
+        return pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *[None] * len(marks)], pa.int64()), pa.array([*b.tolist(), *marks], pa.int64())], ["a", "b"])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            if batch.num_rows:
+                held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                if cut:
+                    yield pairs(*[h[:cut] for h in held])
+                    held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield pairs(*held)
+
+    return index.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, overlap: float) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of doc_ids whose texts overlap by ``overlap`` or more, compared in full."""
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+
+    def sets(batches):
+        for batch in batches:
+            found = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "shingles"])
+
+    def compare(batches):
+        for batch in batches:
+            pair = zip(batch.column(2), batch.column(3))
+            near = [jaccard(*[np.frombuffer(x.as_py(), np.uint64) for x in xs]) >= overlap for xs in pair]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    known = stage(texts.mapInArrow(sets, "id long, shingles binary"), "shingles")
+    one, two = known.toDF("a", "s"), known.toDF("b", "t")
+    return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(compare, "a long, b long").distinct(), "overlaps")
+
+
+def later_pairs(index: DataFrame, large: DataFrame, labels: DataFrame, overlap: float) -> DataFrame:
+    """The pairs of large buckets whose texts are in different components still."""
+    rows = index.join(large, "key").join(labels, F.col("rep") == F.col("node"), "left")
+    rows = stage(rows.select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "large-buckets")
+    counts = rows.groupBy("key", "label").count()
+    most = stage(counts.groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels"), "most")
+    rows = rows.join(most, "key")
+    apart = rows.where("label <> most").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    near = F.least("n", "na") >= F.lit(overlap) * F.greatest("n", "na") - F.lit(1e-6)
+    both = apart.join(rows, "key").where((F.col("la") != F.col("label")) & near & ((F.col("label") == F.col("most")) | (F.col("a") < F.col("rep"))))
+    return both.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).where("a <> b").distinct()
+
+
+def overlapping(docs: DataFrame, index: DataFrame, words: int, overlap: float, small: int) -> DataFrame:
+    """Verified edges (a, b) that connect all overlapping texts of ``index`` (key, rep, n)."""
+    found = Staged(first_pairs(index, overlap, small), "pairs")
+    edges = verified(stage(found.df.where("a is not null").distinct(), "first-pairs"), docs, words, overlap)
+    large = found.df.where("a is null").select(F.col("b").alias("key"))
+    if large.limit(1).count():
+        more = stage(later_pairs(index, large, stage(components(edges), "labels"), overlap), "later-pairs")
+        edges = edges.unionByName(verified(more, docs, words, overlap))
+    return edges
+
+
+def copy_groups(docs: DataFrame, words: int = 5, overlap: float = 0.8, bands: int = 30, rows: int = 5, small: int = 16) -> DataFrame:
+    """(doc_id, component_id) of every row; the id is the smallest doc_id reachable by links."""
+    signed = stage(signatures(docs, words, bands, rows), "signatures")
+    sets = signed.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    sets = stage(sets, "distinct-sets")
+    index = sets.where("rep is not null").select(F.explode("keys").alias("key"), "rep", "n")
+    labels = stage(components(overlapping(docs, index, words, overlap, small)), "labels")
+    own = sets.join(labels, sets["rep"] == labels["node"], "left").select("d0", "d1", F.coalesce("label", "rep").alias("component_id"))
+    return signed.join(stage(own, "components"), ["d0", "d1"]).select("doc_id", "component_id")

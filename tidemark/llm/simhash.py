@@ -14,8 +14,8 @@ all pairs. Buckets of more than ``bucket`` fingerprints are cut into tiles (pair
 searched as groups of their own; nothing is dropped. Components then join the edges in Spark.
 
 With more than one lane, larger ``max_bits`` are allowed: the verification is exact, while the index finds a
-pair if any segment of any lane differs by one bit at most (three lanes: about four pairs in five at 0.8 shingle
-overlap, nearly all at 0.9; groups of copies are found through any of their pairs).
+pair if any segment of any lane differs by one bit at most, which is sure below two bits a segment only. The
+pipeline's stage, which links by shingle overlap, therefore takes its pairs from ``tidemark.llm.overlap``.
 
 Defined cases: null and empty texts have fingerprint zero and are linked; fewer words than a shingle form one
 shingle; rows without doc_id take part in no link of their own and report the component of equal fingerprints;
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ASCII_LOWER, Staged, components, stage
+from tidemark.llm.overlap import copy_groups
 
 SEED = 42
 #: The first bit of each segment of a lane, and the end.
@@ -204,15 +205,15 @@ def near_groups(docs: DataFrame, words: int = 4, lanes: int = 1, max_bits: int =
     return rows.join(own, names).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 3, max_bits: int = 35, bucket: int = 8192) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, overlap: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group, with their own columns.
 
-    The defaults take five-word shingles and link at a shingle overlap of 0.8: there two fingerprints differ in
-    0.15 of their bits, 29 of 192 with a deviation of 5; 35 takes in that deviation, so that few pairs at 0.8 are
-    missed for noise. Unrelated texts differ in about 96 bits. Of rows that repeat a doc_id one stays; rows
-    without doc_id stay. Texts are scanned, not shuffled, unless doc_ids repeat.
+    Texts link at a shingle overlap of ``overlap``, verified on their whole sets of shingles. Min-hash bands find
+    the pairs (``tidemark.llm.overlap``): at 0.8 two fingerprints differ in 0.15 of their bits, where segments with
+    one wildcard would need 14 lanes, 900 index rows a text, to find all but one pair in a thousand. Of rows that
+    repeat a doc_id one stays; rows without doc_id stay.
     """
-    ids = near_groups(docs, words, lanes, max_bits, bucket).where("doc_id is not null")
+    ids = copy_groups(docs, words, overlap).where("doc_id is not null")
     ids = stage(ids.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")), "near-ids")
     gone = ids.where("doc_id <> c").select(F.col("doc_id").alias("__tm_id"))
     out = docs.join(gone, F.col("doc_id") == F.col("__tm_id"), "left_anti")
