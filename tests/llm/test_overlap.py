@@ -52,3 +52,10 @@ def test_large_buckets_equal_all_pairs(docs_of):
     assert 4 < len(set(want.values())) < 100
     for small in (2, 16):
         assert {r.doc_id: r.component_id for r in copy_groups(docs_of(rows), small=small).collect()} == want
+
+
+def test_no_pair_below_the_overlap_is_linked(docs_of):
+    rows = pairs()
+    clean = {2 * i + 1 for i in range(240) if 0.75 < jaccard(shingles(rows[2 * i][1], 5), shingles(rows[2 * i + 1][1], 5)) < 0.8}
+    assert len(clean) == 120
+    assert clean <= {r.doc_id for r in drop_near_duplicates(docs_of(rows)).collect()}
