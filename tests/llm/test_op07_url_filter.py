@@ -60,3 +60,9 @@ def test_longest_rule_and_no_rows(spark):
     out = judge_urls(pages(spark, [("http://a.b.c/x/y", None)]), [Rule("block", "c"), Rule("allow", "b.c", "/x/"), Rule("block", "b.c", "/x")]).first()
     assert (out.rule, out.verdict) == ("b.c/x/", "allow")
     assert judge_urls(pages(spark, []), RULES).collect() == []
+
+
+def test_mass_reaches_hosts_twenty_links_away(spark):
+    rows = [("http://spam.net/a", None)] + [(f"http://h{i}.com/a", f'<a href="http://{f"h{i - 1}.com" if i > 1 else "spam.net"}/a">l</a>') for i in range(1, 21)]
+    got = {r.host: r.distrust for r in judge_urls(pages(spark, rows), RULES).collect()}
+    assert all(abs(got[f"h{i}.com"] - 0.15 * 0.85**i) < 1e-5 for i in range(1, 21))
