@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes the shuffle files of a query when it ends; a staged table needs none of them any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What is staged inside the innermost ``scratch()``, or nothing.
+_owners: list[list[Staged]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``.
@@ -33,21 +38,58 @@ class Staged:
     def __init__(self, df: DataFrame, tag: str, partition_by: list[str] | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path, partitionBy=partition_by)
+        self.gone = False
+        with cleaned_shuffles(self.spark):
+            df.write.parquet(self.path, partitionBy=partition_by)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _owners:
+            _owners[-1].append(self)
 
     def drop(self) -> None:
         """Delete the files, once nothing that is still to run reads them."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if not self.gone:
+            self.gone = True
+            jvm = self.spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
     return Staged(df, tag).df
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; it waits for a collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def cleaned_shuffles(spark: SparkSession):
+    """Queries started inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+@contextmanager
+def scratch():
+    """Deletes at its end whatever was staged inside; the caller has written what it keeps elsewhere or ``keep`` s it.
+
+    >>> with scratch() as keep:
+    ...     result = keep(Staged(operator(docs), "result"))
+    """
+    mine: list[Staged] = []
+    kept: list[Staged] = []
+
+    def keep(table: Staged) -> Staged:
+        kept.append(table)
+        return table
+
+    _owners.append(mine)
+    try:
+        yield keep
+    finally:
+        _owners.pop()
+        for table in mine:
+            if table not in kept:
+                table.drop()
+        if _owners:
+            _owners[-1].extend(kept)
