@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tests.llm.conftest import lower
+from tidemark.llm import ppm
 from tidemark.llm.ppm import END, gram_counts, score_documents
 
 R = random.Random(2)
@@ -90,3 +91,13 @@ def test_nothing_to_learn_and_no_rows(docs_of):
     rows = score_documents(docs_of(only)).collect()
     assert all(r.score == pytest.approx(-4 * math.log10(256)) and r.n_known == 0 and r.train_tokens == 0 for r in rows)
     assert score_documents(docs_of([])).collect() == []
+
+
+def test_repeated_rows_are_dealt_to_all_groups(docs_of, monkeypatch):
+    monkeypatch.setattr(ppm, "MANY", 5)
+    rows = [(1, "same text of many rows")] * 40 + [(None, f"no id {i % 3}") for i in range(40)] + [(d, f"other {d} text") for d in range(3, 30)]
+    one = sorted(map(str, ppm.score_documents(docs_of(rows), group_bytes=1 << 20).collect()))
+    assert len(one) == len(rows)
+    many = ppm.score_documents(docs_of(rows), group_bytes=200).collect()
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
+    assert sorted(map(key, many)) == sorted(map(key, ppm.score_documents(docs_of(rows)).collect()))

@@ -69,3 +69,15 @@ def test_mix_and_no_rows(spark):
     planned = sorted((str(r.doc_id), str(r.source), r.size, r.copies) for r in plan_mix(table(spark)).collect() if r.copies)
     assert sorted((str(r.doc_id), str(r.source), len(r.text.split()), r.copies) for r in mixed.collect()) == planned
     assert mix_sources(table(spark, [])).collect() == []
+
+
+def test_a_third_repeated_and_a_third_without_ids(spark):
+    rows = [(7, "a", "w w w")] * 600 + [(None, "a", "w w")] * 600 + [(1000 + i, "b", "w " * (1 + i % 5)) for i in range(600)]
+    rows = [*rows, (5, "c", "word " * 300000)]
+    out = plan_mix(table(spark, rows), leaf=64, fan_in=4).collect()
+    words = {}
+    for r in out:
+        words.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert len(out) == len(rows) and all(abs(t - w) <= 3 for s, (t, w) in words.items() if s != "c")
+    mixed = mix_sources(table(spark, rows), leaf=64, fan_in=4)
+    assert sum(r.taken for r in mixed.select("taken").collect()) == pytest.approx(sum(w for _, w in words.values()), abs=1)

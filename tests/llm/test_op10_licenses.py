@@ -1,8 +1,12 @@
 import random
 import re
+import time
+
+import duckdb
 
 from tests.llm.conftest import lower
-from tidemark.llm.licenses import PHRASES, TEMPLATES, scan_licenses
+from tidemark.llm.licenses import NAMES, PHRASES, TEMPLATES, scan_licenses
+from tidemark.llm.registry import ORACLES, QUERIES
 
 R = random.Random(10)
 VOC = ["the", "of", "gnu", "general", "public", "license", "apache", "mit", "cc", "by", "straße", "x1", "free"]
@@ -52,3 +56,30 @@ def test_runs_no_python_and_takes_no_rows(docs_of):
     plan = scan_licenses(docs_of(ROWS[:3]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert scan_licenses(docs_of([])).collect() == []
+
+
+def test_names_with_versions_get_labels_of_their_own(docs_of):
+    texts = ["under the GNU General Public License, version 3.", "CC BY-NC 4.0", "Apache License, Version 2.0", "the MIT License", "cc by the sea 4 0", "GNU General Public license public version 3"]
+    rows = sorted(scan_licenses(docs_of(list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)
+    assert [r.labels for r in rows] == [["gpl", "gpl-3.0"], ["cc-by", "cc-by-nc-4.0"], ["apache", "apache-2.0"], ["mit"], ["cc-by"], ["gpl"]]
+    rows = scan_licenses(docs_of([(i, f"a {text} b") for i, (text, _) in enumerate(NAMES)])).collect()
+    assert all(NAMES[r.doc_id][1] in r.labels and r.score == 1 for r in rows)
+
+
+def test_a_million_words_take_seconds(docs_of):
+    began = time.perf_counter()
+    got = scan_licenses(docs_of([(1, "word of mit license " * 250000)])).collect()[0]
+    assert (got.n_words, got.n_base, got.first_word, got.last_word) == (1000000, 250000, 2, 999998)
+    assert time.perf_counter() - began < 60
+
+
+def test_equals_the_oracle(spark, tmp_path):
+    words = sorted({w for t, _ in [*PHRASES, *NAMES, *TEMPLATES[:3]] for w in t.split()})
+    rows = [(d, " ".join(R.choice([R.choice(words), R.choice([*PHRASES, *NAMES, *TEMPLATES])[0]]) for _ in range(R.choice([0, 1, 8, 40])))) for d in range(150)]
+    rows += [(200, None)] + [(300 + i, " ".join(w for w in t.split() if R.random() > 0.2)) for i, (t, _) in enumerate(TEMPLATES * 4)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLES["op10_licenses"])
+    got = QUERIES["op10_licenses"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())

@@ -8,7 +8,8 @@ words exactly. What a leaf block leaves over - one document with a fraction - go
 fan-in and meets the leftovers of other blocks, until one document per source remains, which is rounded to the
 nearer copy. So a source misses its target by half of one document at most.
 
-Scale: leaves are blocks of about ``leaf`` documents of one source, dealt by hash, so a source with a third of
+Scale: leaves are blocks of about ``leaf`` documents of one source, dealt by a hash of doc_id (and of the row's
+number where a doc_id repeats more than ``leaf / 8`` times), so a source with a third of
 all rows is many blocks; each level of the tree shrinks the rows by ``fan_in``. Only ids and sizes move. Random
 numbers come from hashes of doc_id and seed, blocks from hashes of doc_id, so reruns agree.
 
@@ -24,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidemark.llm.common import Staged, stage, with_columns_last
 
@@ -102,9 +102,11 @@ def round_copies(shares: DataFrame, leaf: int = 4096, fan_in: int = 64, seed: in
     per = stage(shares.groupBy("source").agg(F.count("*").alias("n")), "per-source")
     n = per.agg(F.max("n")).first()[0] or 0
     blocks = F.ceil(F.col("n") / F.lit(leaf))
-    key = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.lit(1), blocks)).cast("long")
+    often = stage(shares.groupBy(F.col("doc_id").alias("__tm_d")).agg(F.count("*").alias("__tm_n")).where(F.col("__tm_n") > leaf // 8), "repeated")
+    salt = F.when(F.col("__tm_n").isNotNull(), F.col("uid")).otherwise(F.lit(0).cast("long"))
+    key = F.pmod(F.xxhash64("doc_id", F.lit(seed), salt), F.greatest(F.lit(1), blocks)).cast("long")
     now = shares.join(per.withColumnRenamed("source", "__tm_s"), F.col("source").eqNullSafe(F.col("__tm_s")))
-    now = now.select("uid", "doc_id", "source", key.alias("block"), "size", "p")
+    now = now.join(often, F.col("doc_id") == F.col("__tm_d"), "left").select("uid", "doc_id", "source", key.alias("block"), "size", "p")
     width, done = max(1, -(-n // leaf)), []
 
     def level(last: bool):
@@ -140,9 +142,10 @@ def round_copies(shares: DataFrame, leaf: int = 4096, fan_in: int = 64, seed: in
 def plan_mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_copies: int = 2, leaf: int = 4096, fan_in: int = 64, seed: int = 42) -> DataFrame:
     """One row per document: uid, doc_id, source, size, source_size, target, copies, taken.
 
-    The uid numbers the rows of this call.
+    The uid numbers the rows of this call, unless ``docs`` brings numbers of its own as ``__tm_uid``.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    uid = F.col("__tm_uid") if "__tm_uid" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     sizes = stage(word_counts(rows), "sizes")
     targets = stage(source_targets(sizes, list(weights), budget, max_copies), "targets")
     rows = sizes.join(targets.withColumnRenamed("source", "__tm_s"), F.col("source").eqNullSafe(F.col("__tm_s"))).drop("__tm_s")
@@ -156,30 +159,18 @@ def plan_mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_copies
     return out.select("uid", "doc_id", "source", "size", "source_size", "target", "copies", taken)
 
 
-
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """The documents that the mix takes, with their columns and copies and taken; see ``plan_mix``.
 
-    Rows of equal doc_id, source and size are worth the same, so it does not matter which of them gets which
-    of their copies: they are numbered on both sides. Texts move once, to meet their copies.
+    Texts move once, to meet their copies by doc_id. Where a doc_id is not unique the rows are numbered and staged
+    first and meet their copies by number.
     """
-    rest = with_columns_last(docs, ["copies", "taken"])
-    plan = plan_mix(docs, **how).select(F.col("doc_id").alias("__tm_d"), F.col("source").alias("__tm_s"), F.col("size").alias("__tm_n"), "copies", "taken")
-    alike = Window.partitionBy("__tm_d", "__tm_s", "__tm_n").orderBy(F.desc("copies"))
-    plan = stage(plan.withColumn("__tm_k", F.row_number().over(alike)), "plan")
-    base, at = docs.select(*rest), rest.index("text")
-    schema = StructType(list(base.schema.fields)).add("__tm_size", "long")
-
-    def count(batches):
-        for batch in batches:
-            sizes = [0 if (t := x.as_py()) is None else len(t.encode().split()) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*rest, "__tm_size"])
-
-    rows = base.mapInArrow(count, schema)
-    key = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("__tm_size")]
-    numbered = F.lit(1)
-    if plan.where("__tm_k > 1").limit(1).count():  # else the numbering, and a shuffle for it, can go
-        numbered = F.row_number().over(Window.partitionBy("doc_id", "source", "__tm_size").orderBy(F.lit(1)))
-    rows = rows.withColumn("__tm_key", numbered)
-    same = [k.eqNullSafe(F.col(n)) for k, n in zip([*key, F.col("__tm_key")], ("__tm_d", "__tm_s", "__tm_n", "__tm_k"))]
-    return rows.join(plan.where("copies > 0"), same).select(*rest, "copies", "taken")
+    base = docs.select(*with_columns_last(docs, ["copies", "taken"]))
+    rest = base.columns
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        base = stage(base.withColumn("__tm_uid", F.monotonically_increasing_id()), "numbered")
+        own, same = "uid", F.col("__tm_uid") == F.col("__tm_key")
+    else:
+        own, same = "doc_id", F.col("doc_id").cast("long").eqNullSafe(F.col("__tm_key"))
+    plan = stage(plan_mix(base, **how).where("copies > 0").select(F.col(own).alias("__tm_key"), "copies", "taken"), "plan")
+    return base.join(plan, same).select(*rest, "copies", "taken")

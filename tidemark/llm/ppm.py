@@ -10,8 +10,8 @@ is a sum that the trie keeps per node.
 
 The base is a unigram model of words with add-half smoothing.
 
-Scale: the trie is never gathered anywhere. Documents are dealt by hash into groups of about ``group_bytes`` of
-text. A group reports its distinct grams (context and symbol) and words with their training counts; the counts
+Scale: the trie is never gathered anywhere. Documents are dealt by a hash of doc_id and text - repeated rows by
+their number, too - into groups of about ``group_bytes`` of text. A group reports its distinct grams (context and symbol) and words with their training counts; the counts
 are added up over all groups, the code length of every distinct gram follows from joins between levels of the
 trie, and each group gets back the code lengths of its own grams and words to add up its texts. So memory
 follows the group, shuffles follow the input, and the model grows with the corpus.
@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Staged
-from tidemark.staging import release_shuffles
 
 #: Pads the start of a text and marks its end; it is no byte of UTF-8.
 END = 0xFF
 CHUNK = 1 << 20
+#: Rows that are the same in doc_id and text are dealt one by one if any is there more often.
+MANY = 1000
 #: The end mark among words; a word has no blanks.
 END_WORD = " "
 
@@ -134,11 +135,16 @@ def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold:
     """
     if not 1 <= order <= 6:
         raise ValueError("a gram must fit a 64-bit number: order 1 to 6")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-int(total) // group_bytes), min(8, int(total) >> 19))
+    rows = docs.select("doc_id", "text")
+    per_row = rows.groupBy(F.xxhash64("doc_id", "text").alias("h")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    most, total = per_row.agg(F.max("n"), F.sum("bytes")).first()
+    groups = max(1, -(-int(total or 0) // group_bytes), min(8, int(total or 0) >> 19))
+    rows = rows.withColumn("copy", F.lit(1).cast("long"))
+    if (most or 0) > MANY:  # number the repeated rows, so that they are dealt to all groups
+        rows = rows.groupBy("doc_id", "text").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(True))
-    dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int").alias("g"),
+    dealt = rows.select(
+        F.pmod(F.xxhash64("doc_id", "text", "copy"), F.lit(groups)).cast("int").alias("g"),
         F.col("doc_id").cast("long").alias("doc_id"),
         held.alias("held_out"),
         "text",
@@ -171,9 +177,7 @@ def score_documents(docs: DataFrame, order: int = 4, folds: int = 5, held_fold:
     words = Staged(counts.df.where("is_word").groupBy("word").agg(F.sum("n").alias("n")), "words")
     tokens, kinds = words.df.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     tokens, kinds = int(tokens or 0), int(kinds or 0)
-    release_shuffles(docs.sparkSession)  # the texts dealt to count them
     cost = code_lengths(counts.df.where("not is_word").groupBy("gram").agg(F.sum("n").alias("n")), order)
-    release_shuffles(docs.sparkSession)
 
     wanted = counts.df.where("is_word").select("g", "word").join(words.df, "word").select("g", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("v"))
     priced = counts.df.where("not is_word").select("g", "gram").join(cost.df, "gram").select("g", "gram", F.lit(None).cast("string").alias("word"), F.col("cost").alias("v"))

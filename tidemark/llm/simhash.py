@@ -1,7 +1,8 @@
 """SimHash near-dedup with deletion-variant signatures.
 
 A text's words (A-Z lower-cased, split at ASCII white space) form shingles; each shingle's XXH64 votes on the
-bits of a fingerprint of one or more 64-bit lanes. Fingerprints link at ``max_bits`` or fewer differing bits.
+bits of a fingerprint of one or more 64-bit lanes (further lanes mix the same hash anew). Fingerprints link at
+``max_bits`` or fewer differing bits.
 
 Candidates: every lane is cut into three segments. With one lane and at most five differing bits some segment
 differs by one bit at most, so the two fingerprints agree on that segment with one bit - the wildcard - taken
@@ -10,16 +11,21 @@ variants together and every candidate is verified on the whole fingerprint. Only
 indexed, so exact copies cost nothing.
 
 Large buckets: a bucket of m fingerprints yields a spanning forest of its links - m - 1 edges at most, never
-all pairs. Buckets of more than ``bucket`` fingerprints are cut into tiles (pairs of bounded chunks) that are
-searched as groups of their own; nothing is dropped. Components then join the edges in Spark.
-
-With more than one lane, larger ``max_bits`` are allowed: the verification is exact, while the index finds a
-pair if any segment of any lane differs by one bit at most, which is sure below two bits a segment only. The
-pipeline's stage, which links by shingle overlap, therefore takes its pairs from ``tidemark.llm.overlap``.
+all pairs. Buckets of more than ``bucket`` fingerprints are split again by one-wildcard variants of the lane's
+other bits (one lane), which loses no link, and what is still too large is cut into tiles (pairs of bounded
+chunks) that are searched as groups of their own; nothing is dropped. Components then join the edges in Spark.
+
+Near copies by overlap (``near_copies``, the pipeline's stage): the fingerprint finds candidates, the texts
+decide. Four lanes of two-word shingles differ in 0.10 of their bits, seldom 0.15, where sets of five-word
+shingles overlap by 0.8, and some of the twelve segments differs by one bit at most. Candidates form groups;
+within a group every text is compared in full - the sizes of intersections of whole shingle sets are counted -
+with all texts that it is not yet linked to, in tiles of bounded chunks. So no link is below ``overlap`` and no
+link inside a group is lost. Groups are small unless texts are alike; in a group of m texts off one base that
+do not link, the work grows with m squared, at about a nanosecond for each shingle of each pair.
 
 Defined cases: null and empty texts have fingerprint zero and are linked; fewer words than a shingle form one
-shingle; rows without doc_id take part in no link of their own and report the component of equal fingerprints;
-rows that repeat a doc_id are one node; an empty table gives an empty result.
+shingle; rows without doc_id take part in no link of their own and report the component of equal fingerprints
+(in ``near_copies`` of equal words); rows that repeat a doc_id are one node; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,47 +34,76 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ASCII_LOWER, Staged, components, stage
-from tidemark.llm.overlap import copy_groups
 
 SEED = 42
 #: The first bit of each segment of a lane, and the end.
 CUTS = (0, 21, 42, 64)
+#: The same for what is left of a lane without one segment, where large buckets are split again.
+REST_CUTS = (0, 14, 28, 43)
 CHUNK = 1 << 14
 
 
-def fingerprint(text: str | None, words: int, lanes: int) -> list[int]:
-    """The lanes of a text as signed 64-bit numbers; a bit is 1 if set in over half of the shingles."""
-    parts = (text or "").encode().translate(ASCII_LOWER).split()
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(ASCII_LOWER).split()
+
+
+def shingle_hashes(parts: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of every shingle in order, repeats included; fewer words than a shingle form one, none form none."""
     if not parts:
-        return [0] * lanes
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
-    starts = np.concatenate([[0], ends[:-1]])
     k = min(words, len(parts))
-    first, last = starts[: len(parts) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()
-    total = np.zeros((lanes, 64), np.int64)
+    first = [0, *ends[: len(parts) - k].tolist()]
+    last = (ends[k - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(first), CHUNK):
-        cuts = [joined[a:b] for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK])]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(first, last)], np.uint64)
+
+
+def lane_bits(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes that vote on a lane; the first lane takes them as they are."""
+    if not lane:
+        return hashes
+    x = hashes ^ np.uint64(0x9E3779B97F4A7C15 * lane % 2**64)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(hashes: np.ndarray, lanes: int) -> list[int]:
+    """The lanes as signed 64-bit numbers; a bit is 1 if set in over half of the hashes."""
+    total = np.zeros((lanes, 64), np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK]
         for lane in range(lanes):
-            h = np.array([digest(c, SEED + lane) for c in cuts], "<u8")
-            total[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * total > len(first)).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel().tolist()
+            bits = np.unpackbits(np.ascontiguousarray(lane_bits(part, lane), "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            # eight bits stand in eight bytes of one number; 255 such numbers add up without a carry
+            sums = np.add.reduceat(bits.view("<u8"), np.arange(0, len(part), 255), axis=0)
+            total[lane] += sums.view(np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def lane_names(lanes: int) -> list[str]:
+    return [f"f{i}" for i in range(lanes)]
 
 
 def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
-    """(doc_id, f0, f1, ...) of every row."""
-    names = [f"f{i}" for i in range(lanes)]
+    """(doc_id, d0, d1, f0, f1, ...) of every row; d0 and d1 are 128 bits that name the sequence of words."""
+    names = ["d0", "d1", *lane_names(lanes)]
 
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), words, lanes) for t in batch.column(1)], np.int64).reshape(-1, lanes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, i]) for i in range(lanes))], ["doc_id", *names])
+            rows = []
+            for text in batch.column(1):
+                parts = words_of(text.as_py())
+                name = np.frombuffer(xxhash.xxh128_digest(b" ".join(parts), SEED), "<i8").tolist()
+                rows.append([*name, *fingerprint(shingle_hashes(parts, words), lanes)])
+            values = np.array(rows, np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(values[:, i]) for i in range(len(names)))], ["doc_id", *names])
 
     schema = ", ".join(["doc_id long", *(f"{n} long" for n in names)])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -86,6 +121,23 @@ def variants(names: list[str]) -> Column:
     return F.array(*out)
 
 
+def rest_variants(name: str, key: Column) -> Column:
+    """The one-wildcard variants of the bits outside the segment of ``key``, each hashed with the key."""
+    bit, whole = F.shiftright(key, 22), F.col(name)
+    low, high = (1 << CUTS[1]) - 1, (1 << CUTS[2]) - 1
+    rest = (
+        F.when(bit < CUTS[1], F.shiftrightunsigned(whole, CUTS[1]))
+        .when(bit < CUTS[2], whole.bitwiseAND(F.lit(low)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(whole, CUTS[2]), CUTS[1])))
+        .otherwise(whole.bitwiseAND(F.lit(high)))
+    )
+    out = []
+    for start, end in zip(REST_CUTS, REST_CUTS[1:]):
+        for at in range(start, end):
+            part = rest.bitwiseAND(F.lit(((1 << end) - (1 << start)) & ~(1 << at)))
+            out.append(F.xxhash64(key, F.lit(at), part))
+    return F.array(*out)
+
+
 def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
@@ -125,16 +177,12 @@ def _links_of_runs(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, max_bit
     return np.concatenate([a, [x for x, _ in more]]).astype(np.int64), np.concatenate([b, [y for _, y in more]]).astype(np.int64)
 
 
-def links(prints: DataFrame, names: list[str], max_bits: int, bucket: int = 8192) -> DataFrame:
-    """Edges (a, b) between ``rep`` ids that connect all linked fingerprints; ``prints`` is (rep, lanes...)."""
-    if len(names) == 1 and max_bits > 5:
-        raise ValueError("one lane finds all links up to five bits only")
-    n = len(names)
-    rows = prints.where("rep is not null").select("rep", *names, F.explode(variants(names)).alias("key"))
+def _bucket_links(rows: DataFrame, n: int, max_bits: int, bucket: int) -> Staged:
+    """Edges (a, b) within equal keys of (rep, lanes..., key); (null, key) names a bucket beyond the bound."""
     rows = rows.repartition("key").sortWithinPartitions("key", "rep")
 
     def run(batches):
-        key, ids, lanes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, n), np.uint64)
+        key, ids, lanes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, n), np.uint64)
         over = None
         for batch in batches:
             more = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n + 2)]
@@ -145,7 +193,7 @@ def links(prints: DataFrame, names: list[str], max_bits: int, bucket: int = 8192
             if cut:
                 yield from emit(key[:cut], ids[:cut], lanes[:cut], over)
                 key, ids, lanes = key[cut:], ids[cut:], lanes[cut:]
-            if len(key) > bucket:  # the run goes on: it is for the tiles, one row names its key
+            if len(key) > bucket:  # the run goes on: it is split again, one row names its key
                 over = int(key[0])
                 key, ids, lanes = key[-1:], ids[-1:], lanes[-1:]
         if len(key):
@@ -166,35 +214,60 @@ def links(prints: DataFrame, names: list[str], max_bits: int, bucket: int = 8192
             [pa.array([*a.tolist(), *[None] * len(marks)], pa.int64()), pa.array([*b.tolist(), *marks], pa.int64())], ["a", "b"]
         )
 
-    found = Staged(rows.mapInArrow(run, "a long, b long"), "links")
-    edges = found.df.where("a is not null").distinct()
-    if found.df.where("a is null").limit(1).count():
-        edges = edges.unionByName(_tiled(prints, names, found.df.where("a is null").select(F.col("b").cast("int").alias("key")).distinct(), max_bits, bucket))
-    return edges
+    return Staged(rows.mapInArrow(run, "a long, b long"), "links")
+
+
+def links(prints: DataFrame, names: list[str], max_bits: int, bucket: int = 8192) -> DataFrame:
+    """Edges (a, b) between ``rep`` ids that connect all linked fingerprints; ``prints`` is (rep, lanes...)."""
+    if len(names) == 1 and max_bits > 5:
+        raise ValueError("one lane finds all links up to five bits only")
+    indexed = prints.where("rep is not null").select("rep", *names, F.explode(variants(names)).alias("key"))
+    found = _bucket_links(indexed, len(names), max_bits, bucket)
+    edges = [found.df.where("a is not null")]
+    large = found.df.where("a is null").select(F.col("b").cast("int").alias("key")).distinct()
+    if large.limit(1).count():
+        rows = Staged(indexed.join(large, "key"), "large-buckets").df
+        if len(names) == 1:
+            again = rows.select("rep", *names, F.col("key").alias("first"), F.explode(rest_variants(names[0], F.col("key"))).alias("key"))
+            found = _bucket_links(again.drop("first"), 1, max_bits, bucket)
+            edges.append(found.df.where("a is not null"))
+            large = found.df.where("a is null").select(F.col("b").alias("key")).distinct()
+            # those are alike throughout: each first bucket is searched once, however many second ones they share
+            rows = again.join(large, "key").select("rep", *names, F.col("first").alias("key")).distinct()
+        edges.append(_tiled(rows, names, max_bits, bucket))
+    out = edges[0]
+    for more in edges[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def tiles(rows: DataFrame, chunks: DataFrame, key: str, salt: str) -> DataFrame:
+    """``rows`` once for each tile they take part in: (low, high) are the numbers of two chunks of their ``key``.
+
+    ``chunks`` is (key, chunks): into how many the rows of each key are dealt by the hash of ``salt``.
+    """
+    rows = rows.join(chunks, key).withColumn("mine", F.pmod(F.xxhash64(salt), "chunks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).drop("chunks", "mine", "other")
 
 
-def _tiled(prints: DataFrame, names: list[str], keys: DataFrame, max_bits: int, bucket: int) -> DataFrame:
+def _tiled(rows: DataFrame, names: list[str], max_bits: int, bucket: int) -> DataFrame:
     """The links inside buckets beyond the bound, searched in tiles of two chunks of about half a bucket."""
-    rows = prints.where("rep is not null").select("rep", *names, F.explode(variants(names)).alias("key")).join(keys, "key")
-    rows = Staged(rows, "large-buckets").df
     counts = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(max(1, bucket // 2))).cast("int").alias("chunks"))
-    rows = rows.join(stage(counts, "chunks"), "key")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
 
     def tile(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep")
         lanes = np.stack([group[n].to_numpy().view(np.uint64) for n in names], axis=1)
         return pd.DataFrame(forest(lanes, group["rep"].to_numpy(), max_bits), columns=["a", "b"]).astype("int64")
 
-    return rows.select("key", "low", "high", "rep", *names).groupBy("key", "low", "high").applyInPandas(tile, "a long, b long").distinct()
+    dealt = tiles(rows, stage(counts, "chunks"), "key", "rep")
+    return dealt.select("key", "low", "high", "rep", *names).groupBy("key", "low", "high").applyInPandas(tile, "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = 4, lanes: int = 1, max_bits: int = 4, bucket: int = 8192) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; the id is the smallest doc_id reachable by links."""
-    names = [f"f{i}" for i in range(lanes)]
-    rows = stage(fingerprints(docs, words, lanes), "fingerprints")
+    names = lane_names(lanes)
+    rows = stage(fingerprints(docs, words, lanes).select("doc_id", *names), "fingerprints")
     # The least doc_id stands for all copies of a fingerprint. A doc_id with two texts ties its fingerprints.
     prints = stage(rows.groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     edges = links(prints, names, max_bits, bucket)
@@ -205,15 +278,117 @@ def near_groups(docs: DataFrame, words: int = 4, lanes: int = 1, max_bits: int =
     return rows.join(own, names).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, overlap: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, with their own columns.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct XXH64 of a text's shingles."""
+    return np.unique(shingle_hashes(words_of(text), words))
+
+
+def overlap_forest(ids: np.ndarray, sets: list[np.ndarray], overlap: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among sets whose Jaccard overlap is ``overlap`` or more.
+
+    The shingles of a text are flagged; one pass over the texts not yet reached then counts all intersections.
+    """
+    sizes = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    ends = np.cumsum(sizes)
+    flag = np.zeros(len(codes) + 1, np.int32)
+    edges, rest = [], np.arange(len(sets))
+    flat, begin = codes, ends - sizes
+    at_rest = np.ones(len(sets), bool)  # of the texts in ``flat``, those not yet reached
+    queue: list[int] = []
+    while at_rest.any():
+        if 2 * at_rest.sum() < len(rest):  # leave out those that are done
+            keep = np.repeat(at_rest, sizes[rest])
+            flat, rest = flat[keep], rest[at_rest]
+            begin, at_rest = np.cumsum(sizes[rest]) - sizes[rest], np.ones(len(rest), bool)
+        if not queue:
+            first = int(np.argmax(at_rest))
+            at_rest[first] = False
+            queue = [int(rest[first])]
+            if not at_rest.any():
+                break
+        at = queue.pop()
+        own = codes[ends[at] - sizes[at] : ends[at]]
+        flag[own] = 1
+        common = np.add.reduceat(flag[flat], begin)
+        flag[own] = 0
+        near = np.flatnonzero(at_rest & (common >= overlap * (sizes[rest] + sizes[at] - common) - 1e-9))
+        edges += [(int(ids[at]), int(ids[j])) for j in rest[near]]
+        queue += rest[near].tolist()
+        at_rest[near] = False
+    return edges
+
+
+def overlap_links(docs: DataFrame, groups: DataFrame, words: int, overlap: float, chunk_texts: int, chunk_bytes: int) -> DataFrame:
+    """Edges (a, b) that connect all texts of ``groups`` (node, label) that overlap, each group compared in full.
+
+    A chunk has about ``chunk_texts`` texts and ``chunk_bytes`` of shingle hashes, so a task holds two such and
+    what one text has beyond.
+    """
+
+    def describe(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(2)]
+            whole = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], whole], ["label", "id", "shingles"]).filter(pa.array([len(s) > 0 for s in sets]))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(groups, F.col("id") == F.col("node"))
+    sets = texts.select("label", "id", "text").mapInArrow(describe, "label long, id long, shingles binary")
+    sets = stage(sets.dropDuplicates(["label", "id", "shingles"]), "shingle-sets")
+    chunks = F.ceil(F.greatest(F.count("*") / F.lit(chunk_texts), F.sum(F.octet_length("shingles")) / F.lit(chunk_bytes))).cast("int")
+    dealt = tiles(sets, stage(sets.groupBy("label").agg(chunks.alias("chunks")), "chunks"), "label", "id")
+    dealt = dealt.select("label", "low", "high", "id", "shingles").repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "id")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and now != tuple(keys[a]):
+                    yield close(held)
+                    held = []
+                now = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield close(held)
+
+    def close(parts):
+        ids = np.concatenate([p.column(3).to_numpy() for p in parts])
+        sets = [np.frombuffer(x.as_py(), np.uint64) for p in parts for x in p.column(4)]
+        edges = overlap_forest(ids, sets, overlap)
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(
+    docs: DataFrame, words: int = 5, overlap: float = 0.8, print_words: int = 2, lanes: int = 4, max_bits: int = 51,
+    bucket: int = 8192, chunk_texts: int = 1024, chunk_bytes: int = 4 << 20,
+) -> DataFrame:
+    """(doc_id, component_id) of every row; the id is the smallest doc_id reachable by links of ``overlap`` or more.
+
+    Candidates are fingerprints of ``lanes`` lanes that differ in ``max_bits`` bits or fewer.
+    """
+    names = lane_names(lanes)
+    rows = stage(fingerprints(docs, print_words, lanes), "fingerprints")
+    prints = stage(rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), *[F.any_value(n).alias(n) for n in names]), "distinct-texts")
+    with_groups = stage(components(links(prints.select("rep", *names), names, max_bits, bucket)), "candidate-groups")
+    edges = overlap_links(docs, with_groups, words, overlap, chunk_texts, chunk_bytes)
+    labels = stage(components(edges), "labels")
+    own = prints.join(labels, prints["rep"] == labels["node"], "left").select("d0", "d1", F.coalesce("label", "rep").alias("component_id"))
+    return rows.select("doc_id", "d0", "d1").join(stage(own, "components"), ["d0", "d1"]).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, overlap: float = 0.8, **how) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group of near copies, with their own columns.
 
-    Texts link at a shingle overlap of ``overlap``, verified on their whole sets of shingles. Min-hash bands find
-    the pairs (``tidemark.llm.overlap``): at 0.8 two fingerprints differ in 0.15 of their bits, where segments with
-    one wildcard would need 14 lanes, 900 index rows a text, to find all but one pair in a thousand. Of rows that
-    repeat a doc_id one stays; rows without doc_id stay.
+    Of rows that repeat a doc_id one stays; rows without doc_id stay.
     """
-    ids = copy_groups(docs, words, overlap).where("doc_id is not null")
+    ids = near_copies(docs, words, overlap, **how).where("doc_id is not null")
     ids = stage(ids.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")), "near-ids")
     gone = ids.where("doc_id <> c").select(F.col("doc_id").alias("__tm_id"))
     out = docs.join(gone, F.col("doc_id") == F.col("__tm_id"), "left_anti")
@@ -221,6 +396,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, overlap: float = 0.8)
     if again.limit(1).count():
         once = out.join(again, F.col("doc_id") == F.col("__tm_id"), "left_anti")
         many = out.join(again, F.col("doc_id") == F.col("__tm_id"), "left_semi")
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = once.unionByName(many.withColumn("__tm_first", first).where("__tm_first = 1").drop("__tm_first"))
+        first = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("text")).alias("__tm_row")
+        out = once.unionByName(many.groupBy(F.col("doc_id").alias("__tm_id")).agg(first).select("__tm_row.*"))
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.llm.licenses import NAMES, PHRASES, TEMPLATES
+
 #: A-Z lower-cased and nothing else, as DuckDB's translate().
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -50,3 +52,39 @@ select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
   sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
 from d left join marks using (doc_id) left join its using (doc_id)
 """
+
+
+def license_templates() -> str:
+    """(t, kind, label, pairs): what the license scan looks for; and (t, off, a, b): its pairs of words."""
+    rows, pairs = [], []
+    kinds = ["base"] * len(PHRASES) + ["name"] * len(NAMES) + ["sentence"] * len(TEMPLATES)
+    for t, (kind, (text, label)) in enumerate(zip(kinds, [*PHRASES, *NAMES, *TEMPLATES])):
+        words = text.split()
+        rows.append(f"({t}, '{kind}', '{label}', {len(words) - 1})")
+        pairs += [f"({t}, {i}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(words, words[1:]))]
+    return f"tm(t, kind, label, pairs) as (values {', '.join(rows)}), tp(t, off, a, b) as (values {', '.join(pairs)})"
+
+
+op10_licenses = f"""
+with {license_templates()},
+d as (select doc_id, {word_list('text')} as w from documents),
+g as (select doc_id, p - 1 as pos, w[p] as a, w[p + 1] as b from d, unnest(range(1, len(w))) as u(p)),
+diag as (select doc_id, t, pos - off as diagonal, list(distinct off) as hit, min(pos) as low, max(pos) as high
+         from g join tp using (a, b) group by doc_id, t, pos - off),
+good as (select diag.*, kind, label, pairs from diag join tm using (t)
+         where case when kind = 'sentence' then len(hit) >= least(2, pairs) else len(hit) = pairs end),
+cut as (select *, coalesce(diagonal - lag(diagonal) over (partition by doc_id, t order by diagonal) > case when kind = 'sentence' then 3 else 0 end, false) as apart from good),
+num as (select *, sum(apart::int) over (partition by doc_id, t order by diagonal) as span from cut),
+spans as (select doc_id, t, span, any_value(kind) as kind, any_value(label) as label, any_value(pairs) as pairs,
+          len(list_distinct(flatten(list(hit)))) as hits, min(low) as low, max(high) as high from num group by doc_id, t, span),
+told as (select *, kind <> 'sentence' or (hits >= 0.6 * pairs and high + 2 - low <= 2 * (pairs + 1)) as counts from spans),
+per as (select doc_id, count(*) filter (where kind = 'base') as n_base, min(low) filter (where kind = 'base') as first_word,
+        max(low) filter (where kind = 'base') as last_word,
+        string_agg(distinct label, ',' order by label) filter (where kind = 'base') as base_labels,
+        string_agg(distinct label, ',' order by label) filter (where counts) as labels,
+        max(case when counts then hits / pairs else 0.0 end) as score
+        from told group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+  coalesce(labels, '') as labels, coalesce(score, 0.0) as score
+from d left join per using (doc_id)
+"""
