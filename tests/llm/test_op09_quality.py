@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tests.llm.conftest import lower
-from tidemark.llm.quality import describe, fit, keep_good, score_quality
+from tidemark.llm.quality import describe, fit, keep_good, score_quality, separate
 
 R = random.Random(9)
 VOC = ["the", "of", "and", "river", "stone", "light", "harbour", "walked", "quiet", "morning", "letter", "found", "under", "bridge"]
@@ -63,3 +64,34 @@ def test_risk_separates_two_clouds():
     pos, neg = rng.normal(1, 0.7, (2000, 40)), rng.normal(-1, 0.7, (2000, 40))
     net = fit(pos[:800], np.vstack([pos[800:], neg[:600]]), 2 / 3)
     assert (net.logit(pos[:500]) > 0).mean() > 0.95 and (net.logit(neg[600:]) < 0).mean() > 0.95
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_prior_of_mixtures(prior):
+    rng = np.random.default_rng(3)
+    draw = lambda n, c: rng.normal(c, 1.0, (n, 40))
+    mixed = np.vstack([draw(int(4000 * prior), 0.5), draw(int(4000 * (1 - prior)), -0.5)])
+    assert abs(separate(draw(3000, 0.5), mixed, mixed.mean(0), mixed.std(0)) - prior) < 0.06
+
+
+def test_risk_equals_its_formula():
+    """One full-batch step moves the weights against the gradient of the risk, found here by differences."""
+    rng = np.random.default_rng(5)
+    p, u, prior = rng.normal(1, 1, (30, 4)), rng.normal(0, 1, (60, 4)), 0.4
+    net = fit(p, u, prior, hidden=3, epochs=5)
+    x, y = ((v - net.mean) / net.scale for v in (p, u))
+
+    def risk():
+        zp, zu = (np.tanh(v @ net.parts[0] + net.parts[1]) @ net.parts[2] + net.parts[3][0] for v in (x, y))
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+    before = risk()
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    zp, zu = (np.tanh(v @ net.parts[0] + net.parts[1]) @ net.parts[2] + net.parts[3][0] for v in (x, y))
+    grads = [a + b for a, b in zip(net.slopes(y, sig(zu) / len(zu)), net.slopes(x, prior * -np.ones(len(zp)) / len(zp)))]
+    for i, g in enumerate(grads):
+        flat = net.parts[i].reshape(-1)
+        for j in range(len(flat)):
+            flat[j] += 1e-6
+            assert (risk() - before) / 1e-6 == pytest.approx(g.reshape(-1)[j], abs=1e-4)
+            flat[j] -= 1e-6
