@@ -50,6 +50,23 @@ def test_runs_hold_each_key_once_and_compact(docs_of):
     assert {r.n for r in store.totals().collect()} >= {1, 3}
 
 
+def test_runs_merge_without_shuffle_or_sort(spark, docs_of):
+    store = LineRuns(fanout=4, buckets=3)
+    store.add(line_keys(docs_of(ROWS[:6]), 20))
+    other = line_dedup.Run(store.runs()[0].df, 3, "copy")
+    with line_dedup.merging(spark):
+        plan = other.df.hint("merge").join(store.runs()[0].df.select("h1", "h2"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    for run in (other, store):
+        run.drop()
+
+
+def test_very_long_texts_and_hot_lines(docs_of):
+    rows = [(d, "\n".join([LONG, f"only in document {d} of them", LONG.upper()])) for d in range(300)] + [(1000, (LONG + "\n") * 100000), (1001, "x" * 3000000)]
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in dedup_lines(docs_of(rows)).collect())
+    assert got == sorted(brute(rows))
+
+
 def test_no_rows(docs_of):
     assert dedup_lines(docs_of([])).collect() == []
 
