@@ -9,38 +9,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import Staged, set_aside
 from tidemark.llm.decontaminate import remove_contaminated
-from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.line_dedup import ADDED, dedup_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import keep_good
 from tidemark.llm.simhash import drop_near_duplicates
+from tidemark.staging import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.3 or more; learned from labels outside fold 0."""
+    """Documents that the classifier scores 0.3 or more; learned from labels outside fold 0.
+
+    Null and empty texts are scored from an all-zero vector; without labels an untaught network scores.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that three or more documents share; ``n_chars`` follows the text."""
-    out = dedup_lines(docs)
-    cut = F.col("n_dropped") > 0
-    return out.select(*[F.when(cut, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Texts without the lines that three or more documents share; ``n_chars`` follows the text.
+
+    A null text stays null; a text of shared lines only becomes empty; rows without doc_id keep all lines.
+    """
+    base, back = set_aside(docs, ADDED)
+    out = dedup_lines(base)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return back(out)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies (five-word shingles, 0.8)."""
+    """One document, that of the smallest doc_id, of each group of near copies (five-word shingles, 0.8).
+
+    Texts without words are one group; rows without doc_id stay; of rows that repeat a doc_id one stays.
+    """
     return drop_near_duplicates(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without ten consecutive words (or all of a shorter item) of the benchmark."""
+    """Documents without ten consecutive words (or all of a shorter item) of the benchmark.
+
+    Null and empty texts stay; an empty benchmark leaves all.
+    """
     return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with copies and taken words."""
+    """The documents that the mix takes, with copies and taken words.
+
+    Null and empty texts have no words and are not taken; null sources are one source, last in order.
+    """
     return mix_sources(docs)
 
 
@@ -57,7 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; what a stage has staged goes when the next one's rows are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:
+            now = keep(Staged(step(spark, docs, sf_dir), name.replace(" ", "-")))
+        if before:
+            before.drop()
+        docs, before = now.df, now
     return docs

@@ -27,7 +27,7 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("route", [F.xxhash64, lambda b: F.pmod(F.xxhash64(b), F.lit(3))])
-@pytest.mark.parametrize("block", [8, 16384])
+@pytest.mark.parametrize("block", [8, 1024])
 def test_equals_brute_force(docs_of, route, block):
     got = exact_groups(docs_of(ROWS), block, route).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute(ROWS)
@@ -38,3 +38,9 @@ def test_equals_brute_force(docs_of, route, block):
 
 def test_empty(docs_of):
     assert exact_groups(docs_of([])).collect() == []
+
+
+def test_very_long_texts_and_a_third_alike(docs_of):
+    long = "tide " * 400000
+    rows = [(d, long if d < 20 else f"{long}{d % 5}" if d < 40 else "same" if d < 240 else f"own {d}") for d in range(600)] + [(None, "same")] * 200
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_groups(docs_of(rows)).collect()), key=str) == brute(rows)

@@ -86,3 +86,20 @@ def test_run_equals_the_stages(spark, tmp_path):
     make(spark, str(tmp_path))
     once = sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert once == sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) and len(once) > 20
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    """No documents, no labels, no benchmark: nothing fails; extra columns named as the operators' own come through."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, label long, copies string, a long, f0 long, n_words long, items string, n_dropped long"
+    for rows in ([], [(d, f"Document {d} says what it says, twice over.", "en", "s", 1, 0.5, 3, "x", 1, 2, 3, "i", 4) for d in range(12)] + [(None,) * 13]):
+        sf_dir = f"{tmp_path}/{len(rows)}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{sf_dir}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, step in corpus_pipeline.STAGES[:-1]:
+            out = step(spark, docs, sf_dir)
+            assert out.columns == docs.columns, name
+            assert all((r.score, r.n_words, r.items, r.n_dropped) in ((0.5, 3, "i", 4), (None,) * 4) for r in out.collect())
+        out = corpus_pipeline.run(spark, sf_dir)
+        assert out.count() == 0 or {"copies", "taken", "f0", "label"} <= set(out.columns)

@@ -6,13 +6,15 @@ any other column of their own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import components
 from tidemark.staging import Staged, shared_dir, stage
 
-__all__ = ["ALNUM_LOWER", "ASCII_LOWER", "Staged", "ascii_lower", "components", "shared_dir", "stage", "with_columns_last"]
+__all__ = ["ALNUM_LOWER", "ASCII_LOWER", "Staged", "ascii_lower", "components", "set_aside", "shared_dir", "stage", "with_columns_last"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -33,3 +35,10 @@ def with_columns_last(docs: DataFrame, names: list[str]) -> list[str]:
     """The columns of ``docs`` that an operator passes through when it adds columns called ``names``."""
     taken = {n.lower() for n in names}
     return [c for c in docs.columns if c.lower() not in taken]
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its own columns called ``names`` out of an operator's way, and what gives its columns back."""
+    taken, columns = {n.lower() for n in names}, docs.columns
+    moved = {c: f"__tm_own_{i}" for i, c in enumerate(columns) if c.lower() in taken}
+    return docs.withColumnsRenamed(moved), lambda out: out.select(*[F.col(moved.get(c, c)).alias(c) for c in columns])

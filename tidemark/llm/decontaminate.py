@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ALNUM_LOWER, stage, with_columns_last
+from tidemark.llm.common import ALNUM_LOWER, set_aside, stage, with_columns_last
 
 #: A shard is closed at so many words; a longer document is a shard of its own.
 SHARD_WORDS = 1 << 20
@@ -235,5 +235,5 @@ def _pieces(benchmark: DataFrame, piece_bytes: int):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs`` without an occurrence of any window, with their own columns."""
-    found = find_matches(docs, benchmark, window)
-    return found.where("not contaminated").select(*with_columns_last(docs, ADDED))
+    base, back = set_aside(docs, ADDED)
+    return back(find_matches(base, benchmark, window).where("not contaminated"))

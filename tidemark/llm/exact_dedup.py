@@ -30,7 +30,7 @@ from tidemark.llm.common import Staged, ascii_lower, stage
 NOTHING = -(2**63)
 
 
-def exact_groups(docs: DataFrame, block_bytes: int = 16384, route: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def exact_groups(docs: DataFrame, block_bytes: int = 1024, route: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``route`` is the hash of a block; tests force collisions with a weak one.
@@ -65,6 +65,9 @@ def exact_groups(docs: DataFrame, block_bytes: int = 16384, route: Callable[[Col
         exact = stage(_named(split.select("block").distinct(), ["block"]).select("block", (-F.col("name") - 1).alias("name")), "block-exact")
         known = known.unionByName(split.join(exact, "block").select("uid", "n_blocks", "pos", "name"))
     level = Staged(known.select("uid", "n_blocks", "pos", "name", F.col("n_blocks").alias("left")), "level0")
+    for table in (named, clash):
+        table.drop()
+    levels = [level]
 
     done = [level.df.where("left = 1").select("uid", "n_blocks", "name")]
     longest = rows.df.agg(F.max("n_blocks")).first()[0] or 0
@@ -86,12 +89,15 @@ def exact_groups(docs: DataFrame, block_bytes: int = 16384, route: Callable[[Col
         )
         pairs.drop()
         given.drop()
+        levels.append(level)
         done.append(level.df.where("left = 1").select("uid", "n_blocks", "name"))
 
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionByName(more)
     ids = stage(whole.join(rows.df.select("uid", "doc_id", "sha"), "uid"), "identities")
+    for table in (rows, *levels):
+        table.drop()
     best = F.max(F.struct("doc_id", "uid"))
     groups = stage(ids.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), best.alias("best")), "groups")
     return ids.join(groups, ["n_blocks", "name"]).select(
