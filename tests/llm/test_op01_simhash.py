@@ -3,10 +3,11 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import lower
 from tidemark.llm.common import components
-from tidemark.llm.simhash import drop_near_duplicates, fingerprint, forest, lane_bits, links, near_copies, near_groups, shingle_hashes, words_of
+from tidemark.llm.simhash import CUTS, drop_near_duplicates, fingerprint, forest, lane_bits, links, local_variants, near_copies, near_groups, shingle_hashes, third_keys, variants, words_of
 
 R = random.Random(1)
 VOC = [f"word{i}" for i in range(400)]
@@ -73,7 +74,7 @@ def test_all_links_up_to_five_bits_and_large_buckets(spark):
             want.setdefault(a, set()).add(b)
         truth = {r.node: r.label for r in components(spark.createDataFrame([(a, b) for a in want for b in want[a]], "a long, b long")).collect()}
         for bucket in (8192, 4):
-            assert {r.node: r.label for r in components(links(df, ["f0"], bits, bucket)).collect()} == truth
+            assert {r.node: r.label for r in components(links(df, ["f0"], bits, bucket, 64 if bucket == 4 else 1 << 18)).collect()} == truth
     with pytest.raises(ValueError):
         links(df, ["f0"], 6)
 
@@ -106,3 +107,29 @@ def test_lanes_agree_with_one():
 
 def test_empty_tables(docs_of):
     assert near_groups(docs_of([])).collect() == [] and near_copies(docs_of([])).collect() == []
+
+
+def test_variants_are_all_segments_with_one_bit_out(spark):
+    """64 variants a lane, the same in Spark and in a task; two prints share one just if a segment differs by a bit at most."""
+    rng = np.random.default_rng(4)
+    names = ["f0", "f1"]
+    prints = rng.integers(-(2**63), 2**63, (40, 2), np.int64)
+    for i in range(20):  # pairs that differ by a few bits in some segments
+        prints[i + 20] = prints[i] ^ np.array([sum(1 << int(b) for b in rng.choice(63, 3 + i % 6, False)) for _ in range(2)])
+    df = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "rep long, f0 long, f1 long")
+    keyed = df.select("rep", *names, F.explode(third_keys(names)).alias("key"))
+    told = {}
+    for r in keyed.select("rep", F.explode(variants(names, F.col("key"))).alias("v")).collect():
+        told.setdefault(r.rep, set()).add(r.v)
+    assert all(len(v) == 128 for v in told.values())
+    rows = keyed.collect()
+    key, lanes, mine = np.array([r.key for r in rows], np.int64), np.array([[r.f0, r.f1] for r in rows], np.int64).view(np.uint64), {}
+    for at, v in local_variants(key, lanes):
+        for i, x in zip(at, v):
+            mine.setdefault(rows[i].rep, set()).add(int(x))
+    assert mine == told
+    for i in range(40):
+        for j in range(i):
+            x = (prints[i] ^ prints[j]).view(np.uint64)
+            near = any(bin(int(lane) >> low & (1 << high - low) - 1).count("1") <= 1 for lane in x for low, high in zip(CUTS, CUTS[1:]))
+            assert bool(told[i] & told[j]) == near

@@ -162,7 +162,7 @@ def plan_mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_copies
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """The documents that the mix takes, with their columns and copies and taken; see ``plan_mix``.
 
-    Texts move once, to meet their copies by doc_id. Where a doc_id is not unique the rows are numbered and staged
+    Texts move once, to meet their copies by doc_id; the plan has a row for each text, so it is never broadcast. Where a doc_id is not unique the rows are numbered and staged
     first and meet their copies by number.
     """
     base = docs.select(*with_columns_last(docs, ["copies", "taken"]))
@@ -173,4 +173,4 @@ def mix_sources(docs: DataFrame, **how) -> DataFrame:
     else:
         own, same = "doc_id", F.col("doc_id").cast("long").eqNullSafe(F.col("__tm_key"))
     plan = stage(plan_mix(base, **how).where("copies > 0").select(F.col(own).alias("__tm_key"), "copies", "taken"), "plan")
-    return base.join(plan, same).select(*rest, "copies", "taken")
+    return base.join(plan.hint("merge"), same).select(*rest, "copies", "taken")

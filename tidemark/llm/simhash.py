@@ -6,14 +6,17 @@ bits of a fingerprint of one or more 64-bit lanes (further lanes mix the same ha
 
 Candidates: every lane is cut into three segments. With one lane and at most five differing bits some segment
 differs by one bit at most, so the two fingerprints agree on that segment with one bit - the wildcard - taken
-out. The index holds all one-wildcard variants of all segments, 64 a lane; an equality shuffle brings equal
-variants together and every candidate is verified on the whole fingerprint. Only distinct fingerprints are
-indexed, so exact copies cost nothing.
+out. The index holds all one-wildcard variants of all segments, 64 a lane. The variants of a segment whose wildcard
+is in the same third of it agree in the other two thirds, so they travel as one row with these as key, nine rows a
+lane; a task makes the variants of the rows of a key, brings equal ones together and verifies every candidate on
+the whole fingerprint. Only distinct fingerprints are indexed, so exact copies cost nothing.
 
 Large buckets: a bucket of m fingerprints yields a spanning forest of its links - m - 1 edges at most, never
-all pairs. Buckets of more than ``bucket`` fingerprints are split again by one-wildcard variants of the lane's
-other bits (one lane), which loses no link, and what is still too large is cut into tiles (pairs of bounded
-chunks) that are searched as groups of their own; nothing is dropped. Components then join the edges in Spark.
+all pairs - and a task drops edges whose ends it has joined already. Where a key has more than ``run`` rows or a
+variant more than ``bucket``, its variants are shuffled one by one. Variants that are still too large are split
+again by one-wildcard variants of the lane's other bits (one lane), which loses no link, and what is left is cut
+into tiles (pairs of bounded chunks) that are searched as groups of their own; nothing is dropped. Components then
+join the edges in Spark.
 
 Near copies by overlap (``near_copies``, the pipeline's stage): the fingerprint finds candidates, the texts
 decide. Four lanes of two-word shingles differ in 0.10 of their bits, seldom 0.15, where sets of five-word
@@ -42,7 +45,9 @@ from tidemark.llm.common import ASCII_LOWER, Staged, components, stage
 SEED = 42
 #: The first bit of each segment of a lane, and the end.
 CUTS = (0, 21, 42, 64)
-#: The same for what is left of a lane without one segment, where large buckets are split again.
+#: The first bit and the width of each third of each segment.
+THIRDS = [(low + 7 * i, high - low - 14 if i == 2 else 7) for low, high in zip(CUTS, CUTS[1:]) for i in range(3)]
+#: As CUTS for what is left of a lane without one segment, where large buckets are split again.
 REST_CUTS = (0, 14, 28, 43)
 CHUNK = 1 << 14
 
@@ -109,35 +114,81 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def variants(names: list[str]) -> Column:
-    """The one-wildcard variants of a fingerprint as an array of ints: 22 bits of segment under the wildcard's number."""
+def third_keys(names: list[str]) -> Column:
+    """Each segment without each of its thirds as an array of ints: 22 bits of segment under the third's number."""
     out = []
     for lane, name in enumerate(names):
-        for low, high in zip(CUTS, CUTS[1:]):
-            mask = (1 << (high - low)) - 1
-            for bit in range(low, high):
-                part = F.shiftrightunsigned(F.col(name), low).bitwiseAND(F.lit(mask & ~(1 << (bit - low))))
-                out.append((part + F.lit((64 * lane + bit) << 22)).cast("int"))
+        for third, (start, width) in enumerate(THIRDS):
+            low, high = CUTS[third // 3], CUTS[third // 3 + 1]
+            mask = ((1 << (high - low)) - 1) & ~(((1 << width) - 1) << (start - low))
+            part = F.shiftrightunsigned(F.col(name), low).bitwiseAND(F.lit(mask))
+            out.append((part + F.lit((9 * lane + third) << 22)).cast("int"))
     return F.array(*out)
 
 
-def rest_variants(name: str, key: Column) -> Column:
-    """The one-wildcard variants of the bits outside the segment of ``key``, each hashed with the key."""
-    bit, whole = F.shiftright(key, 22), F.col(name)
+def variants(names: list[str], key: Column) -> Column:
+    """The one-wildcard variants that travel under ``key``: key, number of the wildcard and the bits of the third."""
+    third = F.shiftright(key, 22)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), third % 9 + 1)
+    lane = F.element_at(F.array(*[F.col(n) for n in names]), F.floor(third / 9).cast("int") + 1)
+    starts, widths = pick([a for a, _ in THIRDS]), pick([w for _, w in THIRDS])
+    bits = F.call_function("shiftrightunsigned", lane, starts).bitwiseAND((F.call_function("shiftleft", F.lit(1).cast("long"), widths) - 1))
+    one = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w)
+    return F.transform(F.sequence(F.lit(0), widths - 1), lambda w: key.cast("long") * 4096 + w * 256 + bits.bitwiseAND(F.bitwise_not(one(w))))
+
+
+def local_variants(key: np.ndarray, lanes: np.ndarray):
+    """The same for the rows of a task: (rows, variants) for each number of the wildcard."""
+    third = key >> 22
+    start, width = (np.array([t[i] for t in THIRDS])[third % 9] for i in (0, 1))
+    bits = (lanes[np.arange(len(key)), third // 9] >> start.astype(np.uint64)).astype(np.int64) & ((1 << width) - 1)
+    for w in range(8):
+        rows = np.flatnonzero(width > w)
+        yield rows, (key[rows] << 12) + (w << 8) + (bits[rows] & ~(1 << w))
+
+
+def rest_variants(name: str, variant: Column) -> Column:
+    """The one-wildcard variants of the bits outside the segment of ``variant``, each hashed with it."""
+    segment, whole = F.floor(F.shiftright(variant, 34) / 3) % 3, F.col(name)
     low, high = (1 << CUTS[1]) - 1, (1 << CUTS[2]) - 1
     rest = (
-        F.when(bit < CUTS[1], F.shiftrightunsigned(whole, CUTS[1]))
-        .when(bit < CUTS[2], whole.bitwiseAND(F.lit(low)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(whole, CUTS[2]), CUTS[1])))
+        F.when(segment == 0, F.shiftrightunsigned(whole, CUTS[1]))
+        .when(segment == 1, whole.bitwiseAND(F.lit(low)).bitwiseOR(F.shiftleft(F.shiftrightunsigned(whole, CUTS[2]), CUTS[1])))
         .otherwise(whole.bitwiseAND(F.lit(high)))
     )
     out = []
     for start, end in zip(REST_CUTS, REST_CUTS[1:]):
         for at in range(start, end):
             part = rest.bitwiseAND(F.lit(((1 << end) - (1 << start)) & ~(1 << at)))
-            out.append(F.xxhash64(key, F.lit(at), part))
+            out.append(F.xxhash64(variant, F.lit(at), part))
     return F.array(*out)
 
 
+class Joined:
+    """Which ids a task has joined; ``new`` keeps the edges that join two that were apart."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        up, path = self.up, []
+        while (y := up.get(x, x)) != x:
+            path.append(x)
+            x = y
+        for p in path:
+            up[p] = x
+        return x
+
+    def new(self, edges) -> list[tuple[int, int]]:
+        out = []
+        for a, b in edges:
+            x, y = self.top(a), self.top(b)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                out.append((a, b))
+        return out
+
+
 def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
@@ -158,7 +209,7 @@ def forest(prints: np.ndarray, ids: np.ndarray, max_bits: int) -> list[tuple[int
     return edges
 
 
-def _links_of_runs(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, max_bits: int, small: int = 48):
+def _links_of_runs(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, max_bits: int, small: int = 6):
     """Edges within runs of equal keys: pairs by offset in small runs, forests in large ones."""
     cuts = np.flatnonzero(np.diff(key)) + 1
     starts, sizes = np.concatenate([[0], cuts]), np.diff(np.concatenate([[0], cuts, [len(key)]]))
@@ -177,13 +228,17 @@ def _links_of_runs(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, max_bit
     return np.concatenate([a, [x for x, _ in more]]).astype(np.int64), np.concatenate([b, [y for _, y in more]]).astype(np.int64)
 
 
-def _bucket_links(rows: DataFrame, n: int, max_bits: int, bucket: int) -> Staged:
-    """Edges (a, b) within equal keys of (rep, lanes..., key); (null, key) names a bucket beyond the bound."""
+def _bucket_links(rows: DataFrame, n: int, max_bits: int, bucket: int, run_rows: int = 0) -> Staged:
+    """Edges (a, b) within equal keys of (rep, lanes..., key); (null, key) names a key beyond the bound.
+
+    With ``run_rows`` the key is that of a third, at most so many rows of it are held, and variants are made here.
+    """
     rows = rows.repartition("key").sortWithinPartitions("key", "rep")
+    most = run_rows or bucket
 
     def run(batches):
         key, ids, lanes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, n), np.uint64)
-        over = None
+        over, joined = None, Joined()
         for batch in batches:
             more = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n + 2)]
             ids = np.concatenate([ids, more[0]])
@@ -191,43 +246,59 @@ def _bucket_links(rows: DataFrame, n: int, max_bits: int, bucket: int) -> Staged
             key = np.concatenate([key, more[-1]])
             cut = int(np.searchsorted(key, key[-1]))
             if cut:
-                yield from emit(key[:cut], ids[:cut], lanes[:cut], over)
+                yield emit(key[:cut], ids[:cut], lanes[:cut], over, joined)
                 key, ids, lanes = key[cut:], ids[cut:], lanes[cut:]
-            if len(key) > bucket:  # the run goes on: it is split again, one row names its key
+            if len(key) > most:  # the run goes on: it is split again, one row names its key
                 over = int(key[0])
                 key, ids, lanes = key[-1:], ids[-1:], lanes[-1:]
         if len(key):
-            yield from emit(key, ids, lanes, over)
+            yield emit(key, ids, lanes, over, joined)
 
-    def emit(key, ids, lanes, over):
+    def emit(key, ids, lanes, over, joined):
         large = set()
         if over is not None and over in (key[0], key[-1]):
             large.add(over)
         values, counts = np.unique(key, return_counts=True)
-        large |= set(values[counts > bucket].tolist())
+        large |= set(values[counts > most].tolist())
         if large:
             keep = ~np.isin(key, list(large))
             key, ids, lanes = key[keep], ids[keep], lanes[keep]
-        a, b = _links_of_runs(key, ids, lanes, max_bits)
+        edges = []
+        for at, variant in local_variants(key, lanes) if run_rows else [(np.arange(len(key)), key)]:
+            order = np.argsort(variant, kind="stable")
+            at, variant = at[order], variant[order]
+            if run_rows:
+                values, counts = np.unique(variant, return_counts=True)
+                if (counts > bucket).any():
+                    large |= set((values[counts > bucket] >> 12).tolist())
+                    keep = ~np.isin(variant >> 12, list(large))
+                    at, variant = at[keep], variant[keep]
+            a, b = _links_of_runs(variant, ids[at], lanes[at], max_bits)
+            edges += joined.new(zip(a.tolist(), b.tolist()))
         marks = sorted(large)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*a.tolist(), *[None] * len(marks)], pa.int64()), pa.array([*b.tolist(), *marks], pa.int64())], ["a", "b"]
-        )
+        columns = [[*(e[0] for e in edges), *[None] * len(marks)], [*(e[1] for e in edges), *marks]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
     return Staged(rows.mapInArrow(run, "a long, b long"), "links")
 
 
-def links(prints: DataFrame, names: list[str], max_bits: int, bucket: int = 8192) -> DataFrame:
+def links(prints: DataFrame, names: list[str], max_bits: int, bucket: int = 8192, run: int = 1 << 18) -> DataFrame:
     """Edges (a, b) between ``rep`` ids that connect all linked fingerprints; ``prints`` is (rep, lanes...)."""
     if len(names) == 1 and max_bits > 5:
         raise ValueError("one lane finds all links up to five bits only")
-    indexed = prints.where("rep is not null").select("rep", *names, F.explode(variants(names)).alias("key"))
-    found = _bucket_links(indexed, len(names), max_bits, bucket)
+    n = len(names)
+    indexed = prints.where("rep is not null").select("rep", *names, F.explode(third_keys(names)).alias("key"))
+    found = _bucket_links(indexed, n, max_bits, bucket, run)
     edges = [found.df.where("a is not null")]
     large = found.df.where("a is null").select(F.col("b").cast("int").alias("key")).distinct()
     if large.limit(1).count():
-        rows = Staged(indexed.join(large, "key"), "large-buckets").df
-        if len(names) == 1:
+        rows = indexed.join(large, "key").select("rep", *names, F.explode(variants(names, F.col("key"))).alias("key"))
+        rows = Staged(rows, "large-buckets").df
+        found = _bucket_links(rows, n, max_bits, bucket)
+        edges.append(found.df.where("a is not null"))
+        large = found.df.where("a is null").select(F.col("b").alias("key")).distinct()
+        rows = rows.join(large, "key")
+        if n == 1:
             again = rows.select("rep", *names, F.col("key").alias("first"), F.explode(rest_variants(names[0], F.col("key"))).alias("key"))
             found = _bucket_links(again.drop("first"), 1, max_bits, bucket)
             edges.append(found.df.where("a is not null"))
