@@ -50,6 +50,8 @@ THIRDS = [(low + 7 * i, high - low - 14 if i == 2 else 7) for low, high in zip(C
 #: As CUTS for what is left of a lane without one segment, where large buckets are split again.
 REST_CUTS = (0, 14, 28, 43)
 CHUNK = 1 << 14
+#: So many ids, 8 bytes each, are sent to all executors at most.
+SENT = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -461,7 +463,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, overlap: float = 0.8,
     """
     ids = near_copies(docs, words, overlap, **how).where("doc_id is not null")
     ids = stage(ids.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")), "near-ids")
-    gone = ids.where("doc_id <> c").select(F.col("doc_id").alias("__tm_id"))
+    gone = stage(ids.where("doc_id <> c").select(F.col("doc_id").alias("__tm_id")), "near-gone")
+    if gone.count() <= SENT:  # texts stay where they are; beyond, both sides are shuffled
+        gone = F.broadcast(gone)
     out = docs.join(gone, F.col("doc_id") == F.col("__tm_id"), "left_anti")
     again = ids.where("doc_id = c and n > 1").select(F.col("doc_id").alias("__tm_id"))
     if again.limit(1).count():
