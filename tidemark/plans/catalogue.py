@@ -560,8 +560,8 @@ def run_dedup(spark, sf_dir):
 
 @query()
 def sweep_runs(spark, sf_dir):
-    """Matched and dark of many settings in one job; tests hold each run against a run of its own."""
-    plan = sweep.grid(spark).where("detector_threshold = 0.5")
+    """Matched and dark of the whole grid in one job; tests hold each run against a run of its own."""
+    plan = sweep.grid(spark)
     return rounded(sweep.outcomes(v.detections(spark, sf_dir), v.ais(spark, sf_dir), v.scenes(spark), plan.withColumn("max_gap_minutes", F.col("max_gap_minutes") * 36)))
 
 
