@@ -13,6 +13,7 @@ from tidemark.operators import ais as cleaning
 from tidemark.operators import boxes, evaluate, pixels, reception, spatial, structures, sweep
 from tidemark.operators.assign import assign, least_cost, solve
 from tidemark.operators.components import components
+from tidemark.operators.spatial import nearest
 from tidemark.operators.detect import BrightPixels, Cfar, Tiling, context_warning, make_detector, tiling_for
 from tidemark.operators.instant import positions_at
 
@@ -315,3 +316,16 @@ def test_sweep_rows_equal_single_runs(spark):
         placed = drawn_by_radar(positions_at(ais, scenes, r.max_gap_minutes * 60), scenes if r.apply_azimuth else None)
         pairs = assign(candidates(dets, placed, r.tolerance_m)).collect()
         assert got[r.run] == (len(pairs), round(sum(p.distance_m for p in pairs), 6))
+
+
+def test_nearest_searches_as_far_as_it_must(spark):
+    rng = random.Random(12)
+    far = [(f"s{i % 3}", i, rng.uniform(-1e6, 1e6), rng.uniform(-1e6, 1e6)) for i in range(40)] + [("s0", 90, None, 1.0), ("none", 91, 0.0, 0.0)]
+    near = [(f"s{i % 3}", rng.uniform(-100, 100), rng.uniform(-100, 100)) for i in range(9)]
+    left, right = spark.createDataFrame(far, "scene string, n long, x double, y double"), spark.createDataFrame(near, "scene string, x double, y double")
+    for on in (("scene",), ()):
+        got = {r.n: r.nearest_m for r in nearest(left, right, ("n",), on, reach_m=10.0).collect()}
+        for scene, n, x, y in far:
+            own = [((x - u) ** 2 + (y - w) ** 2) ** 0.5 for s, u, w in near if not on or s == scene] if x is not None else []
+            assert got[n] is None if not own else abs(got[n] - min(own)) < 1e-6
+        assert [r.nearest_m for r in nearest(left, right.limit(0), ("n",), on).collect()] == [None] * len(far)

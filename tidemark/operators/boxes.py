@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.staging import stage
+
 VALIDATION_SCENES = ("05", "10")
 SUSPICIOUS_PX, NEAR_IOU, NODATA_SHARE = 300, 0.7, 0.5
 #: The audit's rules, in the order in which they run.
@@ -24,8 +26,8 @@ def iou(a, b) -> float:
 def mark_boxes(boxes: DataFrame, size: int = 800, iou_above: float = NEAR_IOU) -> DataFrame:
     """boxes (image, box_id, x0, y0, x1, y1) repaired, with ``rules`` they met and ``dropped``: the rule that drops them.
 
-    Greedy removal of boxes that overlap an earlier kept one depends on their order by box_id, so it runs
-    image by image; images with a single box stay in the JVM.
+    Greedy removal of boxes that overlap an earlier kept one depends on their order by box_id, so it runs image by
+    image, on the boxes that overlap any other so far; those are found by a join, and all others stay in the JVM.
     """
     lo, hi = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
     fixed = boxes.withColumn("__swap", (F.col("x0") > F.col("x1")) | (F.col("y0") > F.col("y1")))
@@ -49,8 +51,14 @@ def mark_boxes(boxes: DataFrame, size: int = 800, iou_above: float = NEAR_IOU) -
         return pd.DataFrame({"image": group["image"].iloc[0], "box_id": pd.array(twice, "int64")})
 
     kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
-    crowded = fixed.where("__many and not __tiny and not __again").select("image", "box_id", *corners)
-    twice = crowded.groupBy("image").applyInPandas(overlaps, f"image {kinds['image']}, box_id long").withColumn("__twice", F.lit(True))
+    crowded = stage(fixed.where("__many and not __tiny and not __again").select("image", "box_id", *corners), "boxes")
+    other = crowded.select(*[F.col(c).alias(f"__{c}") for c in ("image", "box_id", *corners)])
+    side = lambda a, b: F.greatest(F.lit(0.0), F.least(f"{b}1", f"__{b}1") - F.greatest(f"{a}0", f"__{a}0"))
+    area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    shared = side("x", "x") * side("y", "y")
+    clash = (F.col("image") == F.col("__image")) & (F.col("box_id") < F.col("__box_id")) & (shared > F.lit(float(iou_above)) * (area("") + area("__") - shared) * (1 - 1e-9))
+    clashing = crowded.join(other, clash).select("image", F.explode(F.array("box_id", "__box_id")).alias("box_id")).distinct()
+    twice = crowded.join(clashing, ["image", "box_id"], "left_semi").groupBy("image").applyInPandas(overlaps, f"image {kinds['image']}, box_id long").withColumn("__twice", F.lit(True))
     out = fixed.join(twice, ["image", "box_id"], "left").withColumn("__twice", F.coalesce("__twice", F.lit(False)))
     dropped = F.when(F.col("__tiny"), F.lit(TINY)).when(F.col("__again"), F.lit(REPEATED)).when(F.col("__twice"), F.lit(TWICE))
     too_long = dropped.isNull() & (F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > SUSPICIOUS_PX)

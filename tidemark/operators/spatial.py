@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import distance
+from tidemark.staging import stage
 
 
 def cell(coordinate: Column, size: float) -> Column:
@@ -37,17 +38,21 @@ def within_distance(left: DataFrame, right: DataFrame, tolerance_m: float, on: t
 def nearest(left: DataFrame, right: DataFrame, keys: tuple[str, ...], on: tuple[str, ...] = ("scene",), reach_m: float = 5000.0) -> DataFrame:
     """``keys`` of the left side and nearest_m: the distance to the closest right point of equal ``on``, else NULL.
 
-    Most points find theirs within ``reach_m`` through the grid; only the others are compared with every
-    point of their scene.
+    Points search the grid out to ``reach_m``; those that find nothing search again four times as far, until all
+    have found theirs, so no point is compared with points far beyond its nearest. Points without a place find none.
     """
-    places = right.select(*on, "x", "y")
-    own = left.select(*dict.fromkeys([*on, *keys]), "x", "y")
-    close = within_distance(own, places, reach_m, on).groupBy(*keys).agg(F.min("distance_m").alias("__close"))
-    some = own.join(close, list(keys), "left")
-    far = some.where("__close is null").drop("__close")
-    names = places.withColumnsRenamed({"x": "x_right", "y": "y_right"})
-    far = (far.join(names, list(on)) if on else far.crossJoin(names)).groupBy(*keys).agg(F.min(distance(F.col("x"), F.col("y"), F.col("x_right"), F.col("y_right"))).alias("__far"))
-    return some.join(far, list(keys), "left").select(*keys, F.coalesce("__close", "__far").alias("nearest_m"))
+    place = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    places, own = right.where(place).select(*on, "x", "y"), left.select(*dict.fromkeys([*on, *keys]), "x", "y")
+    far = own.where(place)
+    far = far.join(places.select(*on).distinct(), list(on), "left_semi") if on else far
+    found, reach = None, float(reach_m)
+    while True:
+        got = stage(within_distance(far, places, reach, on).groupBy(*keys).agg(F.min("distance_m").alias("nearest_m")), "nearest")
+        found = got if found is None else found.unionByName(got)
+        far = stage(far.join(got.select(*keys), list(keys), "left_anti"), "without-nearest")
+        if not far.limit(1).count() or not on and not places.limit(1).count():
+            return own.select(*keys).join(found, list(keys), "left")
+        reach *= 4
 
 
 def anywhere_within(points: DataFrame, register: DataFrame, tolerance_m: float, key: tuple[str, ...]) -> DataFrame:
