@@ -14,7 +14,7 @@ of both kinds.
 Scale: one pass over the texts turns each row into 40 numbers, which are staged; everything else reads these. Mean
 and scale are sums over all training rows. The fit runs on the driver over about ``sample`` positives and unlabelled
 rows each, the ones with the least hash of doc_id: their number bounds what is sorted, broadcast and collected, some
-MB at the default. More rows would not help a network of a thousand weights; rare kinds of text are in the sample in
+MB at the default. More rows have not been tried; rare kinds of text are in the sample in
 their proportion.
 
 Defined cases: null and empty texts are scored like any other, from an all-zero vector; rows that repeat a
