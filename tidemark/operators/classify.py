@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.assign import assign
 from tidemark.operators.spatial import within_distance
 from tidemark.schemas import MATCH, absent
+from tidemark.staging import stage
 
 MATCHED, DARK, UNSEARCHED = "matched", "dark", "unsearched"
 STRUCTURE, SHADOWED = "structure", "shadowed"
@@ -44,7 +45,7 @@ def classify(detections: DataFrame, declared: DataFrame | None, tolerance_m: flo
         empty = absent(base.withColumn("status", F.lit(UNSEARCHED)), MATCH)
         none = detections.sparkSession.createDataFrame([], "scene string, mmsi string, length_m double, position_basis string, position_age_s double, position_span_s double, velocity_east_ms double, velocity_north_ms double, x double, y double, azimuth_shift_m double")
         return Match(_in_order(empty, detections), _explaining(none, None))
-    pairs = assign(candidates(base, declared, tolerance_m))
+    pairs = stage(assign(candidates(base, declared, tolerance_m)), "pairs")  # both sides need them
     source = pairs.join(declared.select("scene", "mmsi", *CARRIED), ["scene", "mmsi"])
     searched = declared.groupBy("scene").agg(F.count("*").cast("double").alias("declarations_searched"))
     out = base.join(source.withColumnRenamed("distance_m", "match_distance_m"), ["scene", "det_id"], "left").join(searched, "scene", "left")

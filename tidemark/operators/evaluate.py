@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranking import running_max_from_below, running_totals
+from tidemark.staging import stage
 
 MARGIN_PX = 3.0
 
@@ -106,7 +107,7 @@ def benchmark(points: DataFrame, boxes: DataFrame, splits: DataFrame) -> DataFra
 
     ``splits`` is (image, split) with val, test, test_inshore; the other test images are test_offshore.
     """
-    scored = match_points(points, boxes)
+    scored = stage(match_points(points, boxes), "scored")
     names = splits.where("split in ('val', 'test')").unionByName(
         splits.where("split = 'test'").join(splits.where("split = 'test_inshore'").select("image"), "image", "left_semi").withColumn("split", F.lit("test_inshore"))
     )

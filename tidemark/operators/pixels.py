@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import components
+from tidemark.sources.scenes import TILES
 
 
 def tiling(height: int, width: int, tile_px: int, overlap_px: int, spark) -> DataFrame:
@@ -25,6 +28,34 @@ def tiling(height: int, width: int, tile_px: int, overlap_px: int, spark) -> Dat
     )
 
 
+def tiles_of(pixels: DataFrame, scenes: DataFrame, tile_px: int, overlap_px: int) -> DataFrame:
+    """Pixel rows (scene, r, c, v) of scenes as the tiles that ``detect`` takes; pixels without a row read as 0.
+
+    Each pixel goes to the tiles whose window holds it, so one shuffle gives a tile all of its pixels. Tiles
+    without any pixel are left out: nothing is to be found in them.
+    """
+    if overlap_px * 2 >= tile_px:
+        raise ValueError("overlap_px must be less than half of tile_px")
+    step = tile_px - 2 * overlap_px
+    at = lambda place: F.floor(place / F.lit(step)).cast("int")
+    held = lambda c, n: F.explode(F.sequence(F.greatest(at(F.col(c) - overlap_px), F.lit(0)), F.least(at(F.col(c) + overlap_px), at(F.col(n) - 1))))
+    placed = pixels.join(scenes.select("scene", "height", "width", F.array(*"abcdef").alias("frame")), "scene").where("r between 0 and height - 1 and c between 0 and width - 1")
+    dealt = placed.withColumn("i", held("r", "height")).withColumn("j", held("c", "width"))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        one = group.iloc[0]
+        core = [int(one.i) * step, int(one.j) * step]
+        ends = [min(core[0] + step, int(one.height)), min(core[1] + step, int(one.width))]
+        low = [max(p - overlap_px, 0) for p in core]
+        high = [min(p + overlap_px, int(n)) for p, n in zip(ends, (one.height, one.width))]
+        window = np.zeros((high[0] - low[0], high[1] - low[1]))
+        window[group["r"].to_numpy() - low[0], group["c"].to_numpy() - low[1]] = group["v"].fillna(0.0).to_numpy()
+        row = (one.scene, *low, *high, *core, *ends, window.dtype.str, window.tobytes(), *map(float, one.frame))
+        return pd.DataFrame([row], columns=[f.split()[0] for f in TILES.split(", ")])
+
+    return dealt.groupBy("scene", "i", "j").applyInPandas(build, TILES)
+
+
 def owns(row: Column, col: Column) -> Column:
     """Half-open on both axes, so every place has one owner."""
     return (row >= F.col("core_row0")) & (row < F.col("core_row1")) & (col >= F.col("core_col0")) & (col < F.col("core_col1"))

@@ -19,8 +19,10 @@ from tidemark.operators.components import components
 from tidemark.operators.detect import attach_embedding
 from tidemark.operators.instant import drawn_by_radar, positions_at
 from tidemark.operators.spatial import nearest
+from tidemark.plans import bundle, payload
 from tidemark.plans import views as v
 from tidemark.plans.views import AIS, CAND, DET, DRAWN, GRID, PAIRS, POSITIONS, SCENE, SCORE, SIGHT, with_
+from tidemark.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,7 +57,7 @@ def _drawn(spark, sf_dir):
 
 
 def _match(spark, sf_dir):
-    return match.classify(v.detections(spark, sf_dir), _drawn(spark, sf_dir), v.TOLERANCE_M, v.scenes(spark))
+    return match.classify(v.detections(spark, sf_dir), stage(_drawn(spark, sf_dir), "declared"), v.TOLERANCE_M, v.scenes(spark))
 
 
 def _coverage(spark, sf_dir):
@@ -253,15 +255,23 @@ def agreement(spark, sf_dir):
     return rounded(declarations.agreement(*_reviewed(spark, sf_dir)))
 
 
-@query(with_(*MATCHING, PAIRS, REVIEWED, select=f"""select mmsi, round(r.x, 6) as drawn_x, round(r.y, 6) as drawn_y, round((r.x - {SCENE['c']}) / {SCENE['a']}, 6) + 0 as px, round((r.y - {SCENE['f']}) / {SCENE['e']}, 6) + 0 as py,
-  round(q.x, 6) as raw_x, round(q.y, 6) as raw_y, r.status, r.detection as matched_index from reviewed r join pos q using (mmsi)"""))
+def _placed(df):
+    """With the pixel indices of x and y, which scene S does not turn."""
+    return df.withColumns({"row": (F.col("y") - SCENE["f"]) / F.lit(SCENE["e"]) - F.lit(0.5), "col": (F.col("x") - SCENE["c"]) / F.lit(SCENE["a"]) - F.lit(0.5)})
+
+
+NUMBERED = "numbered as (select *, row_number() over (order by y desc, x, det_id) - 1 as index from classed)"
+
+
+@query(with_(*CLASSIFIED, REVIEWED, NUMBERED, "heard as (select mmsi, min(ord) as first_ord from ais group by mmsi)", select=f"""select mmsi, row_number() over (order by first_ord) - 1 as index, round(r.x, 6) as drawn_x, round(r.y, 6) as drawn_y,
+  round((r.x - {SCENE['c']}) / {SCENE['a']}, 6) + 0 as px, round((r.y - {SCENE['f']}) / {SCENE['e']}, 6) + 0 as py, round(q.x, 6) as raw_x, round(q.y, 6) as raw_y, r.status, n.index as matched_index
+from reviewed r join pos q using (mmsi) join heard using (mmsi) left join numbered n on n.det_id = r.detection"""))
 def declaration_records(spark, sf_dir):
-    """Raw and drawn place of every declaration, joined by scene and vessel."""
-    raw = _declared(spark, sf_dir).select("scene", "mmsi", F.col("x").alias("raw_x"), F.col("y").alias("raw_y"))
-    frame = v.scenes(spark).select("scene", *"abcdef")
-    rows = _reviewed(spark, sf_dir)[1].join(raw, ["scene", "mmsi"]).join(F.broadcast(frame), "scene")
-    px, py = geo.pixel(F.col("x"), F.col("y"))
-    return rounded(rows.select("mmsi", F.col("x").alias("drawn_x"), F.col("y").alias("drawn_y"), px.alias("px"), py.alias("py"), "raw_x", "raw_y", "status", F.col("detection").alias("matched_index")))
+    """Raw and drawn place of every declaration, numbered as first heard, with the number of what explains it."""
+    found, reviewed = _reviewed(spark, sf_dir)
+    rows = payload.declaration_records(reviewed, _declared(spark, sf_dir), v.scenes(spark), _placed(found))
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return rounded(rows.select("mmsi", number("index"), "drawn_x", "drawn_y", "drawn.px", "drawn.py", F.col("declared_x").alias("raw_x"), F.col("declared_y").alias("raw_y"), "status", number("matched_index")))
 
 
 # -- structures -------------------------------------------------------------------------------------------------
@@ -382,18 +392,19 @@ def stub_blobs(spark, sf_dir):
     return rounded(pixels.bright_blobs(_image(spark), 1.0, 96).drop("image"))
 
 
-def _box_sql(sizes: dict[str, int]) -> str:
+def box_sql(sizes: dict[str, int], source: str = "grid", image: str = "") -> str:
+    """CFAR statistic of the pixels of ``source``, for each value of the columns ``image`` on its own."""
     cols = ("s", "n", "q")
-    over = lambda k, by, along: f"sum({{}}) over (partition by {by} order by {along} range between {sizes[k] // 2} preceding and {sizes[k] // 2} following)"
+    over = lambda k, by, along: f"sum({{}}) over (partition by {image}{by} order by {along} range between {sizes[k] // 2} preceding and {sizes[k] // 2} following)"
     one = ", ".join(f"{over(k, 'r', 'c').format(c)} as {k}_{c}" for k in sizes for c in cols)
     two = ", ".join(f"{over(k, 'c', 'r').format(f'{k}_{c}')} as {k}{c}" for k in sizes for c in cols)
-    return f"""base as (select r, c, v as s, cast(v <> 0 as int)::double as n, v * v as q from grid),
-h as (select *, {one} from base), w as (select r, c, n, {two} from h),
+    return f"""base as (select {image}r, c, v as s, cast(v <> 0 as int)::double as n, v * v as q from {source}),
+h as (select *, {one} from base), w as (select {image}r, c, n, {two} from h),
 ring as (select *, bn - gn as seen, greatest(bn - gn, 1) as m, (bs - gs) / greatest(bn - gn, 1) as mean from w),
-stat as (select r, c, case when n > 0 and seen >= {0.25 * (sizes['b'] ** 2 - sizes['g'] ** 2)} then (ts / greatest(tn, 1) - mean) / (sqrt(greatest((bq - gq) / m - mean * mean, 0)) + cast(1e-3 as double)) else 0 end as v from ring)"""
+stat as (select {image}r, c, case when n > 0 and seen >= {0.25 * (sizes['b'] ** 2 - sizes['g'] ** 2)} then (ts / greatest(tn, 1) - mean) / (sqrt(greatest((bq - gq) / m - mean * mean, 0)) + cast(1e-3 as double)) else 0 end as v from ring)"""
 
 
-_STAT = _box_sql({"t": 3, "g": 9, "b": 17})
+_STAT = box_sql({"t": 3, "g": 9, "b": 17})
 
 
 def _z(spark):
@@ -510,11 +521,13 @@ def _raw_boxes(spark, sf_dir):
     return v.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).cast("long").alias("image"), k.alias("box_id"), d(x).alias("x0"), d(y).alias("y0"), d(x + (k * 7) % 40 - 3).alias("x1"), d(y + (k * 11) % 40 - 3).alias("y1"))
 
 
-@query(f"""with raw as ({_RAW}), f as (select image, box_id, x0 > x1 or y0 > y1 as swap, least(x0, x1) as x0, least(y0, y1) as y0, greatest(x0, x1) as x1, greatest(y0, y1) as y1 from raw),
+_FIXED = f"""raw as ({_RAW}), f as (select image, box_id, x0 > x1 or y0 > y1 as swap, least(x0, x1) as x0, least(y0, y1) as y0, greatest(x0, x1) as x1, greatest(y0, y1) as y1 from raw),
 k as (select *, least(greatest(x0, 0), 800) as a0, least(greatest(y0, 0), 800) as b0, least(greatest(x1, 0), 800) as a1, least(greatest(y1, 0), 800) as b1 from f),
 t as (select *, a0 <> x0 or b0 <> y0 or a1 <> x1 or b1 <> y1 as cut, a1 - a0 < 1 or b1 - b0 < 1 as tiny from k),
-u as (select *, not tiny and row_number() over (partition by image, tiny, a0, b0, a1, b1 order by box_id) > 1 as again from t)
-select image, box_id, a0 as x0, b0 as y0, a1 as x1, b1 as y1, swap as swapped, cut as clipped, tiny, again from u""")
+u as (select *, not tiny and row_number() over (partition by image, tiny, a0, b0, a1, b1 order by box_id) > 1 as again from t)"""
+
+
+@query(with_(_FIXED, select="select image, box_id, a0 as x0, b0 as y0, a1 as x1, b1 as y1, swap as swapped, cut as clipped, tiny, again from u"))
 def box_clean(spark, sf_dir):
     """The rules that do not depend on the order of overlaps; the whole chain is ``box_audit``."""
     marked = boxes.mark_boxes(_raw_boxes(spark, sf_dir))
@@ -522,9 +535,27 @@ def box_clean(spark, sf_dir):
     return marked.select("image", "box_id", "x0", "y0", "x1", "y1", has(boxes.SWAPPED).alias("swapped"), has(boxes.CLIPPED).alias("clipped"), has(boxes.TINY).alias("tiny"), has(boxes.REPEATED).alias("again"))
 
 
-@query()
+_SHARED = "greatest(0, least(n.a1, q.a1) - greatest(n.a0, q.a0)) * greatest(0, least(n.b1, q.b1) - greatest(n.b0, q.b0))"
+_UNION = f"((n.a1 - n.a0) * (n.b1 - n.b0) + (q.a1 - q.a0) * (q.b1 - q.b0) - {_SHARED})"
+
+
+@query(
+    with_(_FIXED, f"""n as (select image, box_id, a0, b0, a1, b1, row_number() over (partition by image order by box_id) as k from u where not tiny and not again),
+walk(image, k, kept, twice) as (
+  select distinct image, cast(0 as bigint), list_filter([struct_pack(a0 := 0::double, b0 := 0::double, a1 := 0::double, b1 := 0::double)], lambda q: false), list_filter([0::bigint], lambda q: false) from n
+  union all select image, k, case when hit then kept else list_append(kept, box) end, case when hit then list_append(twice, box_id) else twice end
+  from (select w.image, n.k, w.kept, w.twice, n.box_id, struct_pack({', '.join(f'{c} := n.{c}' for c in ('a0', 'b0', 'a1', 'b1'))}) as box, len(list_filter(w.kept, lambda q: {_SHARED} / {_UNION} > {boxes.NEAR_IOU}::double)) > 0 as hit
+    from walk w join n on n.image = w.image and n.k = w.k + 1)),
+dup as (select image, unnest(arg_max(twice, k)) as box_id from walk group by image),
+met as (select image, 1 as ordinal from u where swap union all select image, 2 from u where cut union all select image, 3 from u where tiny union all select image, 4 from u where again
+  union all select image, 5 from dup union all select image, 6 from u left join dup using (image, box_id) where not tiny and not again and dup.box_id is null and greatest(a1 - a0, b1 - b0) > {boxes.SUSPICIOUS_PX}),
+named as (select * from (values {', '.join(f"({i}, '{r}')" for i, r in enumerate(boxes.BOX_RULES, 1))}) as t(ordinal, rule))""",
+    select="""select ordinal, rule, (select count(*) from met m where m.ordinal = d.ordinal) as n,
+  (select string_agg(cast(image as varchar), ',' order by image) from (select distinct image from met m where m.ordinal = d.ordinal order by image limit 5)) as examples
+from named d where exists (select 1 from met m where m.ordinal = d.ordinal)""")
+)
 def box_audit(spark, sf_dir):
-    """The whole chain with its greedy removal of overlapping boxes; tests hold it against a sequential version."""
+    """The whole chain with its greedy removal of overlapping boxes, box by box in the counterpart."""
     found = boxes.audit(boxes.mark_boxes(_raw_boxes(spark, sf_dir)))
     return found.withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
 
@@ -593,20 +624,18 @@ def footprint(spark, sf_dir):
     return corners.select("scene", F.col("corner").cast("long").alias("corner"), "at.x", "at.y")
 
 
-@query(with_(*CLASSIFIED, select="select det_id, row_number() over (order by y desc, x, det_id) - 1 as index, status from classed"))
+@query(with_(*CLASSIFIED, NUMBERED, select="select det_id, index, status from numbered"))
 def detection_index(spark, sf_dir):
     """Positional index of detections: reading order of their places, per scene."""
-    from pyspark.sql import Window
+    rows = payload.detection_records(_placed(_match(spark, sf_dir).detections))
+    return rows.select("det_id", F.col("index").cast("long").alias("index"), "status")
 
-    order = Window.partitionBy("scene").orderBy(F.desc("y"), "x", "det_id")
-    return _match(spark, sf_dir).detections.select("det_id", (F.row_number().over(order) - 1).cast("long").alias("index"), "status")
 
-
-@query(with_(*CLASSIFIED, select="select det_id + 1 as detection, status, mmsi, x, y, round(match_distance_m, 6) as match_distance_m, position_basis, scene from classed where status = 'dark'"))
+@query(with_(*CLASSIFIED, LEGS, OWN, MARKED, NUMBERED, select="select n.index + 1 as detection, m.final as status, m.mmsi, m.x, m.y, round(m.match_distance_m, 6) as match_distance_m, m.position_basis, m.reception_basis, strftime(make_timestamp(m.acquired_at), '%Y-%m-%dT%H:%M:%SZ') as acquired_at, m.scene from marked m join numbered n using (det_id) where m.final = 'dark'"))
 def dark_table(spark, sf_dir):
-    """The table of one status, with the export's numbering."""
-    rows = _match(spark, sf_dir).detections.where(F.col("status") == match.DARK)
-    return rounded(rows.select((F.col("det_id") + 1).alias("detection"), "status", "mmsi", "x", "y", "match_distance_m", "position_basis", "scene"))
+    """The table of one status, with the export's numbering and texts."""
+    rows = payload.detections_for_csv(_placed(_marked(spark, sf_dir))).where(F.col("status") == match.DARK)
+    return rounded(rows.select(F.col("detection").cast("long").alias("detection"), "status", "mmsi", "x", "y", "match_distance_m", "position_basis", "reception_basis", "acquired_at", "scene"))
 
 
 @query(with_(SIGHT, EDGES, STANDING, select="select id, dense_rank() over (order by position_id) - 1 as position from member"))
@@ -640,24 +669,14 @@ def register_texts(spark, sf_dir):
     """Positions from ``x,y`` texts; what is malformed gives NULL, where the request parser refuses it."""
     sep = F.when(F.col("c_custkey") % 9 == 0, F.lit(";")).otherwise(F.lit(","))
     text = v.table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), sep, F.col("c_nationkey").cast("string")).alias("value"))
-    part = lambda i: F.expr(f"try_cast(split_part(value, ',', {i}) as double)")
-    return text.select("value", part(1).alias("x"), part(2).alias("y"))
-
-
-@query(with_(SCORE, "ins as (select doc_id as id from labels where toxic = 1)", select="select case when id in (select id from ins) then 'inshore' else 'offshore' end as split, count(*) as points, count(*) filter (where hit) as hits from score group by 1"))
-def inshore_offshore(spark, sf_dir):
-    """Membership of splits as semi and anti joins."""
-    scored = v.scored(spark, sf_dir)
-    inshore = v.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    count = lambda df, name: df.agg(F.count("*").alias("points"), F.count(F.when(F.col("hit"), 1)).alias("hits")).select(F.lit(name).alias("split"), "points", "hits")
-    return count(scored.join(inshore, "id", "left_semi"), "inshore").unionByName(count(scored.join(inshore, "id", "left_anti"), "offshore")).where("points > 0")
+    return text.select("value", payload.position_of(F.col("value")).alias("at")).select("value", "at.x", "at.y")
 
 
 @query(with_("m as (select unnest(range(25, 1001, 25))::double as tolerance_m), g as (select unnest([1, 2, 5, 10, 15, 20, 30, 45, 60, 90, 120]::double[]) as gap)",
     select="select gap as max_gap_minutes, tolerance_m, ((9 * 11 + (select count(*) from g x where x.gap < g.gap)) * 2) * 40 + cast(tolerance_m / 25 as bigint) - 1 as run from g, m"))
 def run_lookup(spark, sf_dir):
     """The run of each grid position at the configured threshold with the correction on, found by its four keys."""
-    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(g) for g in sweep.GAPS_MINUTES])).alias("max_gap_minutes")).withColumn("tolerance_m", F.explode(F.array(*[F.lit(t) for t in sweep.TOLERANCES_M])))
-    wanted = wanted.withColumns({"detector_threshold": F.lit(0.5), "apply_azimuth": F.lit(True)})
-    found = wanted.join(sweep.grid(spark), ["detector_threshold", "max_gap_minutes", "apply_azimuth", "tolerance_m"])
-    return found.select("max_gap_minutes", "tolerance_m", F.col("run").cast("long").alias("run"))
+    grid = {"detector_threshold": sweep.THRESHOLDS, "max_gap_minutes": sweep.GAPS_MINUTES, "apply_azimuth": [True, False], "tolerance_m": sweep.TOLERANCES_M}
+    manifest = {"order": bundle.ORDER, "grid": grid, "runs": range(17600)}
+    rows = [(g, t, bundle.run_at(manifest, detector_threshold=0.5, max_gap_minutes=g, apply_azimuth=True, tolerance_m=t)) for g in sweep.GAPS_MINUTES for t in sweep.TOLERANCES_M]
+    return spark.createDataFrame(rows, "max_gap_minutes double, tolerance_m double, run long")
