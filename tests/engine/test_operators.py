@@ -329,3 +329,25 @@ def test_nearest_searches_as_far_as_it_must(spark):
             own = [((x - u) ** 2 + (y - w) ** 2) ** 0.5 for s, u, w in near if not on or s == scene] if x is not None else []
             assert got[n] is None if not own else abs(got[n] - min(own)) < 1e-6
         assert [r.nearest_m for r in nearest(left, right.limit(0), ("n",), on).collect()] == [None] * len(far)
+
+
+def test_links_connect_what_all_pairs_connect_with_few_edges(spark):
+    R = random.Random(4)
+    rows = [(i, f"s{i % 9}", R.uniform(-900, 900), R.uniform(-900, 900)) for i in range(300)]
+    rows += [(1000 + i, "t", 5000 + R.gauss(0, 12), 5000 + R.gauss(0, 12)) for i in range(400)]
+    rows += [(2000 + i, "u", 100.0 * i, -3000.0) for i in range(20)]  # each exactly the tolerance from the next
+    sightings = spark.createDataFrame(rows, "id long, scene string, x double, y double")
+    top = {r[0]: r[0] for r in rows}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for i, (a, _, x, y) in enumerate(rows):
+        for b, _, x2, y2 in rows[:i]:
+            if (x - x2) ** 2 + (y - y2) ** 2 <= 100.0**2:
+                one, two = root(a), root(b)
+                top[max(one, two)] = min(one, two)
+    assert {r.id: r.position_id for r in structures.standing(sightings, 100.0).members.collect()} == {n: root(n) for n in top}
+    assert structures._links(sightings.where("id between 1000 and 1999"), 100.0).count() < 2 * 400

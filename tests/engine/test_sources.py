@@ -20,7 +20,7 @@ from tidemark.plans import bundle, commands, payload
 from tidemark.plans.fusion import Params
 from tidemark.plans.payload import Request, Viewer
 from tidemark.sources import archives, config, fixture, labels
-from tidemark.sources.geotiff import GeoTiff, unpack_bits
+from tidemark.sources.geotiff import GeoTiff, joined_planes, unpack_bits, unpack_lzw, unpack_zstd
 from tidemark.sources.scenes import read_scenes, read_tiles, scene_row, write_scene
 
 
@@ -66,6 +66,46 @@ def tiff(path, image, tile=None, compress=False, nodata=None, bands=1):
     path.write_bytes(b"II*\0" + struct.pack("<I", offset) + b"".join(blocks) + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + extra)
 
 
+def pack_lzw(data: bytes) -> bytes:
+    """The plain encoder: greedy longest known word, table emptied before codes get wider than 12 bits."""
+    bits, known, width, word = "", {bytes([i]): i for i in range(256)}, 9, b""
+    bits += format(256, "09b")
+    free = 258
+    for byte in data:
+        longer = word + bytes([byte])
+        if longer in known:
+            word = longer
+            continue
+        bits += format(known[word], f"0{width}b")
+        known[longer], free, word = free, free + 1, bytes([byte])
+        width = 9 if free < 512 else 10 if free < 1024 else 11 if free < 2048 else 12
+        if free == 4094:
+            bits += format(known[word], f"0{width}b") + format(256, f"0{width}b")
+            known, free, width, word = {bytes([i]): i for i in range(256)}, 258, 9, b""
+    if word:
+        bits += format(known[word], f"0{width}b")
+        free += 1
+        width = 9 if free < 512 else 10 if free < 1024 else 11 if free < 2048 else 12
+    bits += format(257, f"0{width}b")
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def test_codecs_and_predictors_of_geotiff(tmp_path):
+    R = np.random.default_rng(5)
+    for n in (0, 1, 300, 5000, 40000):
+        for data in (R.integers(0, 256, n, np.uint8).tobytes(), R.integers(0, 3, n, np.uint8).tobytes(), b"a" * n):
+            assert unpack_lzw(pack_lzw(data)) == data
+    with pytest.raises(ValueError):
+        unpack_lzw(int("100000000" + "001100001" + "111111111" + "00000", 2).to_bytes(4, "big"))
+    zstandard = pytest.importorskip("zstandard")
+    assert unpack_zstd(zstandard.compress(b"abc" * 99)) == b"abc" * 99
+    image = (R.random((6, 11, 2)) * 1000 - 300).astype("<f4")
+    planes = image.astype(">f4").reshape(6, -1).view(np.uint8).reshape(6, -1, 4).transpose(0, 2, 1).reshape(6, -1, 2)
+    steps = np.diff(planes.astype(np.int16), axis=1, prepend=0).astype(np.uint8)
+    assert joined_planes(steps.reshape(-1), 6, 2, image.dtype) == image.tobytes()
+
+
 @pytest.mark.parametrize("tile,compress,dtype,bands", [(None, False, "<f4", 1), (16, True, "<f4", 1), (None, True, "<u2", 3), (16, False, "<u1", 2)])
 def test_geotiff_windows(tmp_path, tile, compress, dtype, bands):
     image = (np.random.default_rng(1).random((45, 38)) * 50).astype(dtype)

@@ -1,4 +1,7 @@
-"""A window reader for GeoTIFF: one band, strips or tiles, uncompressed, deflate or PackBits, any byte order."""
+"""A window reader for GeoTIFF: one band, strips or tiles, any byte order.
+
+Uncompressed, LZW, deflate, PackBits and Zstandard (where ``zstandard`` is installed), with predictors 2 and 3.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +41,7 @@ class GeoTiff:
         self.dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[one(FORMAT, 1)] }{one(BITS, 8) // 8}")
         self.apart = one(PLANAR, 1) == 2
         self.compression, self.predictor = one(COMPRESSION, 1), one(PREDICTOR, 1)
-        if self.compression not in (1, 8, 32946, 32773) or self.predictor not in (1, 2):
+        if self.compression not in (1, *CODECS) or self.predictor not in (1, 2, 3) or self.predictor == 3 and self.dtype.kind != "f":
             raise ValueError(f"{path}: compression {self.compression} with predictor {self.predictor} is not supported")
         self.tiled = TILE_WIDTH in self.tags
         self.block = (one(TILE_HEIGHT), one(TILE_WIDTH)) if self.tiled else (min(one(ROWS_PER_STRIP, self.shape[0]), self.shape[0]), self.shape[1])
@@ -116,12 +119,12 @@ class GeoTiff:
         offsets, sizes = (TILE_OFFSETS, TILE_BYTES) if self.tiled else (STRIP_OFFSETS, STRIP_BYTES)
         f.seek(self.tags[offsets][n])
         data = f.read(self.tags[sizes][n])
-        if self.compression in (8, 32946):
-            data = zlib.decompress(data)
-        elif self.compression == 32773:
-            data = unpack_bits(data)
+        if self.compression != 1:
+            data = CODECS[self.compression](data)
         per = 1 if self.apart else self.count
         rows = len(data) // (self.block[1] * per * self.dtype.itemsize)
+        if self.predictor == 3:
+            data = joined_planes(np.frombuffer(data, np.uint8)[: rows * self.block[1] * per * self.dtype.itemsize], rows, per, self.dtype)
         block = np.frombuffer(data, self.dtype)[: rows * self.block[1] * per].reshape(rows, self.block[1], per)
         if self.predictor == 2:
             block = np.cumsum(block, axis=1, dtype=self.dtype)
@@ -132,6 +135,51 @@ class GeoTiff:
         return whole if dtype is None else whole.astype(dtype)
 
 
+def joined_planes(data: np.ndarray, rows: int, per: int, dtype: np.dtype) -> bytes:
+    """Rows of floats that were stored as differences of their bytes, the highest byte of all samples first."""
+    steps = data.reshape(rows, -1, per)
+    planes = np.cumsum(steps, axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, -1)
+    return planes.transpose(0, 2, 1).copy().view(dtype.newbyteorder(">")).astype(dtype).tobytes()
+
+
+# Fixed values of TIFF's LZW: the code that empties the table, the code that ends the data, the narrowest and widest codes.
+LZW_CLEAR, LZW_END, LZW_NARROW, LZW_WIDE = 256, 257, 9, 12
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """Codes of growing width, the highest bit first; a width grows one code before its range is used up."""
+    single = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, last, out = list(single), None, bytearray()
+    width, held, bits = LZW_NARROW, 0, 0
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == LZW_END:
+            break
+        if code == LZW_CLEAR:
+            table, last, width = list(single), None, LZW_NARROW
+            continue
+        if last is not None:
+            if code > len(table):
+                raise ValueError("the LZW data holds a code that is not known yet")
+            table.append(last + (table[code] if code < len(table) else last)[:1])
+        last = table[code]
+        out += last
+        width = min(max(LZW_NARROW, (len(table) + 1).bit_length()), LZW_WIDE)
+    return bytes(out)
+
+
+def unpack_zstd(data: bytes) -> bytes:
+    try:
+        import zstandard
+    except ImportError:
+        raise ValueError("this file is compressed with Zstandard: install zstandard") from None
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
 def unpack_bits(data: bytes) -> bytes:
     out, i = bytearray(), 0
     while i < len(data):
@@ -145,6 +193,10 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: The compressions that are read here, by their number in TIFF.
+CODECS = {5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits, 50000: unpack_zstd}
+
+
 def clean(data: np.ndarray, nodata: float | None) -> np.ndarray:
     """No-data and non-finite pixels as 0."""
     void = np.zeros(data.shape, bool) if data.dtype.kind != "f" else ~np.isfinite(data)
