@@ -112,6 +112,45 @@ def test_assignment_takes_more_pairs_before_shorter_ones(spark):
     assert sum(r.distance_m for r in assign(spark.createDataFrame(square, "scene string, det_id long, mmsi string, distance_m double")).collect()) == 2.0
 
 
+def test_one_large_connected_part_needs_memory_for_its_edges_only():
+    """3,000 by 30,000 in one part: as a matrix 1.4 GB, as edges 36,000."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    n, fan = 3000, 12
+    left = np.repeat(np.arange(n), fan)
+    right = (left * 10 + np.tile(np.arange(fan), n)) % (10 * n)  # neighbours share two
+    metres = rng.uniform(0, 600, len(left))
+    tracemalloc.start()
+    picked = solve(left, right, metres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(picked) == n == len(set(right[picked])) and peak < 100e6
+    # No assignment is cheaper than every left side's nearest; only those that share it can pay more.
+    assert metres[picked].sum() >= metres.reshape(n, fan).min(1).sum()
+    few = left < 40
+    dense = np.full((40, 402), 1e6)
+    dense[left[few], right[few]] = metres[few]
+    best = sum(dense[i, j] for i, j in enumerate(least_cost(dense)))
+    assert sum(metres[few][i] for i in solve(left[few], right[few], metres[few])) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("dets, ships", [(40, 30), (30, 40)])
+def test_assignment_looks_beyond_the_nearest_candidates(spark, dets, ships):
+    """All pairs in reach of each other, at nearly equal places and with ties: the nearest 16 are not enough."""
+    R = random.Random(dets)
+    rows = [("S", d, f"m{m}", float(R.randrange(1, 40))) for d in range(dets) for m in range(ships)]
+    rows += [("S", 500 + d, f"far{d % 2}", 5.0) for d in range(3)]
+    got = assign(spark.createDataFrame(rows, "scene string, det_id long, mmsi string, distance_m double")).collect()
+    cost = np.zeros((dets, ships))
+    for _, d, m, metres in rows[: dets * ships]:
+        cost[d, int(m[1:])] = metres
+    cost = cost if dets <= ships else cost.T
+    best = sum(cost[i, j] for i, j in enumerate(least_cost(cost)))
+    assert len(got) == 30 + 2 == len({r.det_id for r in got}) == len({r.mmsi for r in got})
+    assert sum(r.distance_m for r in got) == best + 10.0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, j) for j in range(101, 160)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
