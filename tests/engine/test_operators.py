@@ -357,6 +357,17 @@ def test_sweep_rows_equal_single_runs(spark):
         assert got[r.run] == (len(pairs), round(sum(p.distance_m for p in pairs), 6))
 
 
+def test_sweep_keys_added_up_from_steps_equal_those_of_each_inputs_pairs(spark):
+    R = random.Random(9)
+    met = [("S", R.randrange(9), f"m{R.randrange(9)}", R.choice([25.0, R.uniform(0, 90)]), R.choice([0.0, 60.0, R.uniform(0, 200)]), R.random() < 0.5, R.random()) for _ in range(120)]
+    met = spark.createDataFrame(met, "scene string, det_id long, mmsi string, distance_m double, age double, az boolean, score double")
+    inputs = [(float(t), float(g), az, float(tol)) for t in (0, 0.5) for g in (1, 2) for az in (True, False) for tol in (10, 25, 80)]
+    inputs = spark.createDataFrame([(*x, i) for i, x in enumerate(inputs)], "thr double, max_gap_minutes double, apply_azimuth boolean, tol double, first long")
+    kept = met.join(inputs, (F.col("az") == F.col("apply_azimuth")) & (F.col("distance_m") <= F.col("tol")) & (F.col("age") <= F.col("max_gap_minutes") * 60) & (F.col("score") >= F.col("thr")))
+    plain = sweep.digest(kept, ["first"], ["scene", "det_id", "mmsi", "distance_m"])
+    assert sorted(map(tuple, sweep._keys(met, inputs).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_nearest_searches_as_far_as_it_must(spark):
     rng = random.Random(12)
     far = [(f"s{i % 3}", i, rng.uniform(-1e6, 1e6), rng.uniform(-1e6, 1e6)) for i in range(40)] + [("s0", 90, None, 1.0), ("none", 91, 0.0, 0.0)]
