@@ -151,6 +151,30 @@ def test_assignment_looks_beyond_the_nearest_candidates(spark, dets, ships):
     assert sum(r.distance_m for r in got) == best + 10.0
 
 
+def test_a_large_scene_is_solved_in_parts(spark, monkeypatch):
+    """One connected scene of many harbours: no task gets it whole, and what harbours lack is found next door."""
+    from tidemark.operators import assign as module
+
+    R, rows = random.Random(21), []
+    ships = [(f"m{h}-{i}", 300.0 * h + R.uniform(0, 40)) for h in range(24) for i in range(12)]
+    dets = [(100 * h + i, 300.0 * h + R.uniform(0, 40)) for h in range(24) for i in range(6 if h % 8 == 3 else 20)]
+    dets += [(d + 50, x) for d, x in dets if d % 3 == 0]  # seen twice at the same place
+    rows = [("S", d, m, abs(x - y)) for d, x in dets for m, y in ships if abs(x - y) <= 600]
+    whole = solve(*[np.array(c) for c in zip(*[(m, d, metres) for _, d, m, metres in rows])])
+    told = module._solved
+
+    def watched(table):
+        if len(table) > 2500:
+            raise ValueError(f"{len(table)} pairs in one task")
+        return told(table)
+
+    monkeypatch.setattr(module, "PART", 300, raising=False)
+    monkeypatch.setattr(module, "_solved", watched)
+    got = assign(spark.createDataFrame(rows, "scene string, det_id long, mmsi string, distance_m double")).collect()
+    assert len(got) == len(whole) == len({r.det_id for r in got}) == len({r.mmsi for r in got})
+    assert sum(r.distance_m for r in got) == pytest.approx(sum(rows[i][3] for i in whole), abs=1e-6)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, j) for j in range(101, 160)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
