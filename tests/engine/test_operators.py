@@ -381,6 +381,52 @@ def test_sweep_rows_equal_single_runs(spark):
         assert got[r.run] == (len(pairs), round(sum(p.distance_m for p in pairs), 6))
 
 
+def test_sweep_writes_and_ranks_pairs_once_for_all_gaps(spark, monkeypatch):
+    from tidemark import staging
+    from tidemark.operators import assign as module
+    from tidemark.plans import views as v
+
+    class Counted(staging.Staged):
+        rows: dict[str, int] = {}
+
+        def __init__(self, df, tag, *how):
+            super().__init__(df, tag, *how)
+            self.rows[tag] = self.df.count()
+
+    monkeypatch.setattr(module, "Staged", Counted)
+    monkeypatch.setattr(sweep, "stage", lambda df, tag: Counted(df, tag).df)
+    sf = "/root/testdata/sf0.001"
+    plan = [(i, gap, True, tol) for i, (gap, tol) in enumerate((g, t) for g in (60.0, 360.0, 1e4, 2e4, 1e5) for t in (900.0, 2000.0))]
+    plan = spark.createDataFrame(plan, "run long, max_gap_minutes double, apply_azimuth boolean, tolerance_m double")
+    out = sweep.outcomes(v.detections(spark, sf), v.ais(spark, sf), v.scenes(spark), plan).collect()
+    assert len({r.matched for r in out}) > 2
+    assert 0 < Counted.rows["candidates"] <= Counted.rows["sweep-pairs"]
+    assert "line-pairs" not in Counted.rows
+
+
+@pytest.mark.parametrize("dets, ships", [(8, 20), (20, 8)])
+def test_lines_of_a_family_equal_assignments_of_their_own(spark, monkeypatch, dets, ships):
+    from tidemark.operators import assign as module
+
+    for name, value in (("NEAREST", 1), ("HELD", 4), ("BLOCK", 2)):
+        monkeypatch.setattr(module, name, value)
+    R = random.Random(dets)
+    age = {(s, m): R.choice([0.0, 60.0, 120.0, 300.0]) for s in "ab" for m in range(ships)}
+    pairs = {(s, R.randrange(dets), R.randrange(ships)): R.choice([5.0, R.uniform(0, 50)]) for _ in range(150) for s in "ab"}
+    rows = [(f, f"{f}|{s}", d, f"m{m}", x, age[s, m]) for (s, d, m), x in pairs.items() for f in (0, 1) if not f or d % 3]
+    lines = [(0, 0, 0.0, [10.0, 20.0, 50.0]), (1, 0, 60.0, [50.0]), (2, 0, 300.0, [0.5, 5.0, 25.0, 30.0, 50.0]), (3, 1, 120.0, [30.0, 40.0])]
+    given = spark.createDataFrame(rows, "family int, scene string, det_id long, mmsi string, distance_m double, age double")
+    got = {(r.line, r.tolerance_m): (r.matched, round(r.total_m, 6)) for r in module.assign_within(given, lines).collect()}
+    for line, family, most_age, cuts in lines:
+        for cut in cuts:
+            n = total = 0
+            for scene in ("a", "b"):
+                own = [r for r in rows if r[:2] == (family, f"{family}|{scene}") and r[5] <= most_age and r[4] <= cut]
+                chosen = module.solve(*(np.array([r[k] for r in own]) for k in (2, 3, 4))) if own else []
+                n, total = n + len(chosen), total + sum(own[i][4] for i in chosen)
+            assert got.get((line, cut), (0, 0.0)) == (n, round(total, 6))
+
+
 def test_sweep_keys_added_up_from_steps_equal_those_of_each_inputs_pairs(spark):
     R = random.Random(9)
     met = [("S", R.randrange(9), f"m{R.randrange(9)}", R.choice([25.0, R.uniform(0, 90)]), R.choice([0.0, 60.0, R.uniform(0, 200)]), R.random() < 0.5, R.random()) for _ in range(120)]
