@@ -6,10 +6,12 @@ again as the next one's docs. All but the last return the columns of ``documents
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Staged, set_aside
+from tidemark.llm.common import BATCH_BYTES, Staged, set_aside, small_batches
 from tidemark.llm.decontaminate import remove_contaminated
 from tidemark.llm.line_dedup import ADDED, dedup_lines
 from tidemark.llm.mixing import mix_sources
@@ -18,6 +20,18 @@ from tidemark.llm.simhash import drop_near_duplicates
 from tidemark.staging import scratch
 
 
+def bounded(step):
+    """``step`` with the batches that its texts go to Python in bounded by bytes; what it returns may run later."""
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
+@bounded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.3 or more; learned from labels outside fold 0.
 
@@ -26,6 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@bounded
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that three or more documents share; ``n_chars`` follows the text.
 
@@ -39,6 +54,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return back(out)
 
 
+@bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near copies (five-word shingles, 0.8).
 
@@ -47,6 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
+@bounded
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words (or all of a shorter item) of the benchmark.
 
@@ -55,6 +72,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@bounded
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with copies and taken words.
 
@@ -77,11 +95,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; what a stage has staged goes when the next one's rows are written."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, step in STAGES:
-        with scratch() as keep:
-            now = keep(Staged(step(spark, docs, sf_dir), name.replace(" ", "-")))
-        if before:
-            before.drop()
-        docs, before = now.df, now
+    docs, before, batches = spark.read.parquet(f"{sf_dir}/documents.parquet"), None, spark.conf.get(BATCH_BYTES)
+    try:
+        for name, step in STAGES:
+            with scratch() as keep:
+                now = keep(Staged(step(spark, docs, sf_dir), name.replace(" ", "-")))
+            if before:
+                before.drop()
+            docs, before = now.df, now
+    finally:
+        spark.conf.set(BATCH_BYTES, batches)
     return docs

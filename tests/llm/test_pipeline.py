@@ -103,3 +103,24 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
             assert all((r.score, r.n_words, r.items, r.n_dropped) in ((0.5, 3, "i", 4), (None,) * 4) for r in out.collect())
         out = corpus_pipeline.run(spark, sf_dir)
         assert out.count() == 0 or {"copies", "taken", "f0", "label"} <= set(out.columns)
+
+
+def test_stages_hand_texts_to_python_in_batches_of_bounded_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import BATCH_BYTES
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "n"])
+
+    before = spark.conf.get(BATCH_BYTES)
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"))
+    monkeypatch.setattr(corpus_pipeline, "keep_good", lambda docs, labels: docs.mapInArrow(sizes, "bytes long, n long"))
+    try:
+        got = dict(corpus_pipeline.STAGES)["quality"](spark, docs, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+    assert sum(r.n for r in got) == 6000 and max(r.bytes for r in got) < 6 << 20
