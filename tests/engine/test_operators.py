@@ -396,12 +396,11 @@ def test_sweep_writes_and_ranks_pairs_once_for_all_gaps(spark, monkeypatch):
     monkeypatch.setattr(module, "Staged", Counted)
     monkeypatch.setattr(sweep, "stage", lambda df, tag: Counted(df, tag).df)
     sf = "/root/testdata/sf0.001"
-    plan = [(i, gap, True, tol) for i, (gap, tol) in enumerate((g, t) for g in (60.0, 360.0, 1e4, 2e4, 1e5) for t in (900.0, 2000.0))]
+    plan = [(i, *x) for i, x in enumerate(itertools.product((60.0, 360.0, 1e4, 2e4, 1e5), (True, False), (900.0, 2000.0)))]
     plan = spark.createDataFrame(plan, "run long, max_gap_minutes double, apply_azimuth boolean, tolerance_m double")
     out = sweep.outcomes(v.detections(spark, sf), v.ais(spark, sf), v.scenes(spark), plan).collect()
     assert len({r.matched for r in out}) > 2
     assert 0 < Counted.rows["candidates"] <= Counted.rows["sweep-pairs"]
-    assert "line-pairs" not in Counted.rows
 
 
 @pytest.mark.parametrize("dets, ships", [(8, 20), (20, 8)])
